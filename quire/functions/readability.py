@@ -14,12 +14,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.regex import count_matches
+from quire.functions.regex import count_matches, substitute
 from quire.functions.text import markdown_strip
 
 # Fixed values.
 VOWELS = "aeiouyàáâãäåæèéêëìíîïòóôõöøœùúûüýÿ"
-V, C = f"[{VOWELS}]", f"[^\\s{VOWELS}]"
 MIN_SCORED_WORDS = 100
 MIN_ANALYSED_WORDS = 500
 TIERS = [("accessible", 60, 275), ("moderate", 40, 200), ("technical", 20, 100), ("dense", None, 60)]
@@ -46,18 +45,22 @@ SCORES = ["flesch_ease", "fk_grade", "gunning_fog", "smog_index", "coleman_liau"
 
 
 def with_counts(df: DataFrame, text: Column) -> DataFrame:
-    """Add words, sentences, syllables, polysyllables, letters of the stripped text."""
-    t, low = F.col("__text"), F.col("__low")
-    voiced = count_matches(low, f"{C}*{V}\\S*")
+    """Add words, sentences, syllables, polysyllables, letters of the stripped text.
+
+    Words are first reduced to their shape, 'a' for a vowel run and 'b' for the rest, so
+    the later patterns run over short text without backtracking.
+    """
+    t, shape = F.col("__text"), F.col("__shape")
+    vowel_runs = F.length(shape) - F.length(F.replace(shape, F.lit("a"), F.lit("")))
     return (
         df.withColumn("__text", markdown_strip(text))
-        .withColumn("__low", F.lower("__text"))
+        .withColumn("__shape", substitute(F.lower("__text"), [(f"[{VOWELS}]+", "a"), (r"[^a\s]+", "b")]))
         .withColumn("words", count_matches(t, r"\S+"))
         .withColumn("sentences", F.greatest(F.lit(1), count_matches(t, r"[.!?]+")))
-        .withColumn("syllables", count_matches(low, f"{V}+") + F.col("words") - voiced)
-        .withColumn("polysyllables", count_matches(low, f"{C}*{V}+{C}+{V}+{C}+{V}\\S*"))
+        .withColumn("syllables", (vowel_runs + count_matches(shape, r"(?<!\S)b(?!\S)")).cast("bigint"))
+        .withColumn("polysyllables", count_matches(shape, r"ababa[ab]*"))
         .withColumn("letters", F.length(F.regexp_replace(t, r"[^\p{L}]", "")))
-        .drop("__text", "__low")
+        .drop("__text", "__shape")
     )
 
 

@@ -30,6 +30,9 @@ MARKDOWN_STRIP = [
     (r"\n{3,}", "\n\n"),
 ]
 
+# a text without any of these is left as it is by every step above
+MARKDOWN_PRESENT = r"[`#*_\[<>+]|\n\n\n|(?md)^\s*(?:-|\d+\.)"
+
 WORD_MARKS = r"[#*_\[\]()>`~-]"
 
 HTML_CLEAN = [
@@ -121,7 +124,7 @@ def word_count(c: Column) -> Column:
 
 
 def markdown_strip(c: Column) -> Column:
-    return strip(substitute(c, MARKDOWN_STRIP))
+    return strip(F.when(c.rlike(MARKDOWN_PRESENT), substitute(c, MARKDOWN_STRIP)).otherwise(c))
 
 
 def html_clean(c: Column) -> Column:

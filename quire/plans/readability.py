@@ -10,6 +10,7 @@ from quire.functions.text import MARKDOWN_STRIP, markdown_strip, word_count
 from quire.operators import readability as ops
 from quire.plans import sqlkit as S
 from quire.plans.registry import query
+from quire.sources.tables import materialize
 from quire.sources.views import chapter_source, chapter_words, main_chapters
 
 
@@ -21,6 +22,11 @@ def _analysed(spark: SparkSession, root: str) -> DataFrame:
     return ops.analysed_chapters(_metrics(spark, root))
 
 
+def _analysed_table(spark: SparkSession, root: str) -> DataFrame:
+    """The analysed chapters as a small written table, for queries that branch on it."""
+    return materialize(spark, _analysed(spark, root), "analysed")
+
+
 @query(
     "markdown_strip",
     f"select doc_id, {S.strip(S.sub('text', MARKDOWN_STRIP))} as body from documents",
@@ -150,7 +156,7 @@ def hardest_easiest(spark, root):
     cast(round(minutes / max(minutes) over (partition by book_id) * 100) as int) as minutes_pct, words from analysed""",
 )
 def chapter_curve(spark, root):
-    return ops.chapter_curve(_analysed(spark, root)).select(
+    return ops.chapter_curve(_analysed_table(spark, root)).select(
         "book_id", "chapter_number", "shown_title", "fk_grade", "tier", "minutes", "minutes_pct", "words"
     )
 
@@ -175,7 +181,7 @@ def chapter_curve(spark, root):
     from b""",
 )
 def difficulty_trend(spark, root):
-    return ops.difficulty_trend(_analysed(spark, root))
+    return ops.difficulty_trend(_analysed_table(spark, root))
 
 
 @query(
@@ -227,7 +233,7 @@ def tier_benchmark(spark, root):
 )
 def readability_missing(spark, root):
     """Books cut by language, so that some have no scored chapter."""
-    metrics = _metrics(spark, root)
+    metrics = materialize(spark, _metrics(spark, root), "metrics")
     cut = F.concat_ws("-", "book_id", "lang")
     books = metrics.select(cut.alias("book_id")).distinct()
     averages = ops.book_averages(ops.analysed_chapters(metrics).withColumn("book_id", cut))
@@ -247,7 +253,7 @@ def readability_missing(spark, root):
       ((i - 1) % (case when n > 30 then 5 when n > 15 then 2 else 1 end) = 0 or i = n) as labelled from x""",
 )
 def curve_points(spark, root):
-    return ops.curve_points(_analysed(spark, root))
+    return ops.curve_points(_analysed_table(spark, root))
 
 
 @query(

@@ -14,6 +14,21 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.schema(TABLES[name]).parquet(f"{root}/{name}.parquet")
 
 
+SMALL_BYTES = 256 * 1024 * 1024
+
+
+def text_table(spark: SparkSession, root: str, name: str, key: str) -> DataFrame:
+    """A table with long texts. When the whole table is smaller than two scan splits it
+    is spread over all cores; larger tables come in enough splits by themselves and are
+    not shuffled. The size is Catalyst's own estimate for the scan."""
+    df = read_table(spark, root, name)
+    try:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except AttributeError:
+        return df
+    return df.repartition(spark.sparkContext.defaultParallelism, key) if size < SMALL_BYTES else df
+
+
 def stream_table(spark: SparkSession, root: str, name: str, max_files: int | None = None) -> DataFrame:
     """The same table as a stream of files.
 
@@ -39,3 +54,15 @@ def work_dir(spark: SparkSession, label: str) -> str:
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def materialize(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` to the shared work folder and read it back.
+
+    For results that several branches of one query use: the branches then share the
+    expensive stage below, lost executors cannot force it to run again, and later joins
+    know the real size.
+    """
+    path = work_dir(spark, label)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

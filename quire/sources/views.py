@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quire.functions.text import title_or_default, word_count
 from quire.functions.titles import is_back_matter, is_front_matter
 from quire.operators.scale import with_rank
-from quire.sources.tables import read_table
+from quire.sources.tables import read_table, text_table
 
 AS_OF = "2024-01-30"
 
@@ -48,7 +48,7 @@ def number_chapters(df: DataFrame) -> DataFrame:
 
 
 def chapter_source(spark: SparkSession, root: str) -> DataFrame:
-    return read_table(spark, root, "documents").select(
+    return text_table(spark, root, "documents", "doc_id").select(
         F.col("source").alias("book_id"), F.col("doc_id").alias("chapter_id"), F.col("text").alias("content"), "lang"
     )
 
@@ -231,7 +231,7 @@ def prompt_files(spark: SparkSession, root: str) -> DataFrame:
     body = F.concat(
         F.lit("# Task for {title}\n"), F.when(d % 4 == 0, "").otherwise("Read: {content}\n"), F.col("text"), F.lit("\n")
     )
-    return read_table(spark, root, "documents").select(
+    return text_table(spark, root, "documents", "doc_id").select(
         d.alias("file_id"),
         F.concat(F.lit("prompts/"), stem, F.lit(".md")).alias("path"),
         F.when(d % 50 == 7, F.lit(None).cast("string"))
