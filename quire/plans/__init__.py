@@ -1,4 +1,4 @@
 """All named queries."""
 
-from quire.plans import cost, prompts, readability, versions  # noqa: F401
+from quire.plans import cost, prompts, readability, textprep, versions  # noqa: F401
 from quire.plans.registry import ORACLES, QUERIES  # noqa: F401
