@@ -233,7 +233,7 @@ VIEWS: dict[str, tuple[list[str], str]] = {
         """select doc_id as chapter_id, source as book_id, '## THE STORY' || chr(10) || text || chr(10) || '---' || chr(10)
         || '## The Advice' || chr(10) || chr(10) ||
         case when doc_id % 4 = 0 then 'No standout advice here' when doc_id % 4 = 1 then 'skip this' else reverse(text) end || chr(10)
-        || case when doc_id % 3 = 0 then '' else '## PEOPLE WORTH KNOWING' || chr(10) || upper(text) || chr(10) || chr(10) end
+        || case when doc_id % 3 = 0 then '' else '## PEOPLE WORTH KNOWING' || chr(10) || lang || ' ' || text || chr(10) || chr(10) end
         || '## THE SURPRISE' || chr(10) || '  ' || chr(10) || '---' || chr(10) || '## QUOTABLE' || chr(10) || '> ' || text as content
         from documents""",
     ),

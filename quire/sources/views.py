@@ -192,7 +192,7 @@ def section_texts(spark: SparkSession, root: str) -> DataFrame:
         F.concat(
             F.lit("## THE STORY\n"), t, F.lit("\n---\n"),
             F.lit("## The Advice\n\n"), skip, F.lit("\n"),
-            F.when(d % 3 == 0, "").otherwise(F.concat(F.lit("## PEOPLE WORTH KNOWING\n"), F.upper(t), F.lit("\n\n"))),
+            F.when(d % 3 == 0, "").otherwise(F.concat(F.lit("## PEOPLE WORTH KNOWING\n"), F.col("lang"), F.lit(" "), t, F.lit("\n\n"))),
             F.lit("## THE SURPRISE\n  \n---\n"),
             F.lit("## QUOTABLE\n> "), t,
         ).alias("content"),

@@ -62,9 +62,9 @@ def diff(spark, con, fn, sql, root):
     a, b = set(left[1]), set(right[1])
     only = f"rows {len(left[1])} / {len(right[1])}; spark only {len(a - b)}, sql only {len(b - a)}"
     for x in sorted(a - b)[:2]:
-        only += "\n   spark " + str(x)[:900]
+        only += "\n   spark " + str(x)[:300]
     for x in sorted(b - a)[:2]:
-        only += "\n   sql   " + str(x)[:900]
+        only += "\n   sql   " + str(x)[:300]
     return only
 
 
