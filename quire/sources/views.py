@@ -119,8 +119,13 @@ def bookmarks(spark: SparkSession, root: str) -> DataFrame:
 
 def calls(spark: SparkSession, root: str) -> DataFrame:
     """The ledger of model calls."""
+    return as_calls(read_table(spark, root, "events"))
+
+
+def as_calls(events: DataFrame) -> DataFrame:
+    """Ledger rows of events; the same for a batch and for a stream."""
     v = F.col("value")
-    return read_table(spark, root, "events").select(
+    return events.select(
         F.col("event_id").alias("call_id"),
         F.col("ts").cast("timestamp").alias("ts"),
         F.to_date("ts").alias("day"),
