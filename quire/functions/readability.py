@@ -14,8 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.regex import count_matches, substitute
-from quire.functions.text import markdown_strip
+from quire.functions.regex import count_matches, strip, substitute
+from quire.functions.text import MARKDOWN_STRIP, MARKS_PRESENT, word_count
 
 # Fixed values.
 VOWELS = "aeiouyàáâãäåæèéêëìíîïòóôõöøœùúûüýÿ"
@@ -45,22 +45,25 @@ SCORES = ["flesch_ease", "fk_grade", "gunning_fog", "smog_index", "coleman_liau"
 
 
 def with_counts(df: DataFrame, text: Column) -> DataFrame:
-    """Add words, sentences, syllables, polysyllables, letters of the stripped text.
+    """Add raw_words, and words, sentences, syllables, polysyllables, letters of the stripped text.
 
-    Words are first reduced to their shape, 'a' for a vowel run and 'b' for the rest, so
-    the later patterns run over short text without backtracking.
+    Plain prose, found by one pattern, skips the Markdown chain, and its raw words are its
+    words. Words are reduced to their shape, 'a' for a vowel run and 'b' for the rest, so
+    most counts run over short text without backtracking.
     """
-    t, shape = F.col("__text"), F.col("__shape")
+    t, shape, marked = F.col("__text"), F.col("__shape"), F.col("__marked")
     vowel_runs = F.length(shape) - F.length(F.replace(shape, F.lit("a"), F.lit("")))
     return (
-        df.withColumn("__text", markdown_strip(text))
+        df.withColumn("__marked", F.coalesce(text.rlike(MARKS_PRESENT), F.lit(False)))
+        .withColumn("__text", strip(F.when(marked, substitute(text, MARKDOWN_STRIP)).otherwise(text)))
         .withColumn("__shape", substitute(F.lower("__text"), [(f"[{VOWELS}]+", "a"), (r"[^a\s]+", "b")]))
-        .withColumn("words", count_matches(t, r"\S+"))
+        .withColumn("words", count_matches(shape, "[ab]+"))
         .withColumn("sentences", F.greatest(F.lit(1), count_matches(t, r"[.!?]+")))
         .withColumn("syllables", (vowel_runs + count_matches(shape, r"(?<!\S)b(?!\S)")).cast("bigint"))
         .withColumn("polysyllables", count_matches(shape, r"ababa[ab]*"))
         .withColumn("letters", F.length(F.regexp_replace(t, r"[^\p{L}]", "")))
-        .drop("__text", "__shape")
+        .withColumn("raw_words", F.when(marked, word_count(text)).otherwise(F.col("words")))
+        .drop("__text", "__shape", "__marked")
     )
 
 

@@ -22,5 +22,5 @@ def count_matches(c: Column, pattern: str) -> Column:
 
 
 def strip(c: Column) -> Column:
-    """Trim every kind of white space, as opposed to F.trim, which trims blanks only."""
-    return substitute(c, [(r"^\s+", ""), (r"\s+$", "")])
+    """Trim every kind of ASCII white space, not only blanks; looks at the ends alone."""
+    return F.trim(c, F.lit(" \t\n\x0b\f\r"))

@@ -30,11 +30,11 @@ MARKDOWN_STRIP = [
     (r"\n{3,}", "\n\n"),
 ]
 
-# a text without any of these is left as it is by every step above
-MARKDOWN_PRESENT = r"[`#*_\[<>+]|\n\n\n|(?md)^\s*(?:-|\d+\.)"
-
 WORD_MARKS = r"[#*_\[\]()>`~-]"
 
+# a text without any of these has no word mark and no step above changes it
+MARKS_PRESENT = r"[`#*_\[\]<>+()~-]|\n\n\n|\d\."
+
 HTML_CLEAN = [
     (r"(?is)<script\b.*?</script\s*>", ""),
     (r"(?is)<style\b.*?</style\s*>", ""),
@@ -124,7 +124,7 @@ def word_count(c: Column) -> Column:
 
 
 def markdown_strip(c: Column) -> Column:
-    return strip(F.when(c.rlike(MARKDOWN_PRESENT), substitute(c, MARKDOWN_STRIP)).otherwise(c))
+    return strip(F.when(c.rlike(MARKS_PRESENT), substitute(c, MARKDOWN_STRIP)).otherwise(c))
 
 
 def html_clean(c: Column) -> Column:

@@ -188,8 +188,9 @@ def extract_sections(responses: DataFrame) -> DataFrame:
     """
 
     def section(name: str, heading: str, order: int) -> Column:
-        found = F.regexp_extract("content", rf"(?is)## {heading}\s*\n(.*?)(?=\n---|\n## |\z)", 1)
-        return F.struct(F.lit(order).alias("section_order"), F.lit(name).alias("section"), strip(found).alias("text"))
+        rest = F.try_element_at(F.split("content", rf"(?i)## {heading}\s*\n", 2), F.lit(2))
+        text = F.substring_index(F.substring_index(rest, "\n---", 1), "\n## ", 1)
+        return F.struct(F.lit(order).alias("section_order"), F.lit(name).alias("section"), strip(text).alias("text"))
 
     every = F.array(*[section(k, h, i) for i, (k, h, _) in enumerate(SECTIONS)])
     rest = [c for c in responses.columns if c != "content"]

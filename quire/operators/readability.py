@@ -11,14 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import readability as R
-from quire.functions.text import title_or_default, word_count
+from quire.functions.text import title_or_default
 from quire.operators.scale import with_group_values, with_rank
 from quire.sources.views import main_chapters, number_chapters, with_flags
 
 
 def chapter_metrics(chapters: DataFrame) -> DataFrame:
     """Counts, scores, tier and times for rows of (book_id, chapter_id, content)."""
-    counted = R.with_counts(chapters.withColumn("raw_words", word_count(F.col("content"))), F.col("content"))
+    counted = R.with_counts(chapters, F.col("content"))
     scored = R.with_times(R.with_scores(counted.drop("content")))
     return with_flags(number_chapters(scored)).withColumn(
         "shown_title", title_or_default(F.col("title"), F.col("chapter_number"))

@@ -18,13 +18,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-WIDTH = 65536
+# rows of a bucket may carry texts, so a bucket has to fit one task with room to spare
+WIDTH = 8192
 PART_ROWS = 200
 BUCKET = "__bucket"
 
 
 def _bucketed(df: DataFrame, order: str, width: int) -> DataFrame:
-    return df.withColumn(BUCKET, F.floor(F.col(order) / F.lit(width)).cast("bigint"))
+    return df.withColumn(BUCKET, F.expr(f"`{order}` div {width}"))
 
 
 def _attach(df: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -60,19 +61,22 @@ def with_running(
         *[fn[kind](f"__t_{out}").over(before).alias(f"__b_{out}") for out, (kind, _) in aggs.items()],
     )
     inside = Window.partitionBy(*group, BUCKET).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    joined = _attach(src, edges, [*group, BUCKET])
-    exprs = []
-    for out, (kind, _) in aggs.items():
-        local, base = fn[kind](f"__v_{out}").over(inside), F.col(f"__b_{out}")
-        if kind == "sum":
-            zero = F.lit(0)
-            both = F.when(local.isNull() & base.isNull(), None).otherwise(
-                F.coalesce(local, zero) + F.coalesce(base, zero)
-            )
-        else:
-            both = F.greatest(local, base)
-        exprs.append(both.alias(out))
-    return joined.select(*[c for c in df.columns if c not in aggs], *exprs)
+    placed = _attach(src, edges, [*group, BUCKET]).select(
+        *[c for c in df.columns if c not in aggs],
+        *[fn[kind](f"__v_{out}").over(inside).alias(f"__l_{out}") for out, (kind, _) in aggs.items()],
+        *[f"__b_{out}" for out in aggs],
+    )
+
+    def combined(out: str, kind: str) -> Column:
+        local, base = F.col(f"__l_{out}"), F.col(f"__b_{out}")
+        if kind == "max":
+            return F.greatest(local, base)
+        return F.coalesce(local + base, local, base)
+
+    return placed.select(
+        *[c for c in df.columns if c not in aggs],
+        *[combined(out, kind).alias(out) for out, (kind, _) in aggs.items()],
+    )
 
 
 def with_rank(df: DataFrame, group: Sequence[str], order: str, out: str, width: int = WIDTH) -> DataFrame:

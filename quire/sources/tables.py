@@ -17,16 +17,27 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
 SMALL_BYTES = 256 * 1024 * 1024
 
 
-def text_table(spark: SparkSession, root: str, name: str, key: str) -> DataFrame:
-    """A table with long texts. When the whole table is smaller than two scan splits it
-    is spread over all cores; larger tables come in enough splits by themselves and are
-    not shuffled. The size is Catalyst's own estimate for the scan."""
-    df = read_table(spark, root, name)
+def is_small(df: DataFrame) -> bool:
+    """Whether a scan is smaller than two scan splits, by Catalyst's own estimate."""
     try:
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < SMALL_BYTES
     except AttributeError:
-        return df
-    return df.repartition(spark.sparkContext.defaultParallelism, key) if size < SMALL_BYTES else df
+        return False
+
+
+def text_table(spark: SparkSession, root: str, name: str, key: str) -> DataFrame:
+    """A table with long texts. A small one is spread over all cores; a larger one comes in
+    enough splits by itself and is not shuffled."""
+    df = read_table(spark, root, name)
+    return df.repartition(spark.sparkContext.defaultParallelism, key) if is_small(df) else df
+
+
+def text_stream(spark: SparkSession, root: str, name: str, key: str) -> DataFrame:
+    """The stream of such a table, under the same rule."""
+    df = stream_table(spark, root, name)
+    if is_small(read_table(spark, root, name)):
+        return df.repartition(spark.sparkContext.defaultParallelism, key)
+    return df
 
 
 def stream_table(spark: SparkSession, root: str, name: str, max_files: int | None = None) -> DataFrame:

@@ -15,10 +15,9 @@ from pyspark.sql import functions as F
 
 from quire.functions import readability as R
 from quire.functions.money import COST
-from quire.functions.text import word_count
 from quire.operators.cost import Settings, month_to_date, warnings, with_costs
 from quire.operators.scale import latest_by
-from quire.sources.tables import stream_table, work_dir
+from quire.sources.tables import stream_table, text_stream, work_dir
 from quire.sources.views import as_calls
 
 DELAY = "1 day"
@@ -173,8 +172,8 @@ def budget_alerts(spark: SparkSession, usage: DataFrame, settings: Settings) ->
 
 def ingest(spark: SparkSession, root: str) -> DataFrame:
     """New documents through the same text columns as the batch."""
-    docs = stream_table(spark, root, "documents").select(
+    docs = text_stream(spark, root, "documents", "doc_id").select(
         F.col("doc_id").alias("chapter_id"), F.col("source").alias("book_id"), F.col("text").alias("content")
     )
-    rows = R.with_times(R.with_scores(R.with_counts(docs.withColumn("raw_words", word_count(F.col("content"))), F.col("content"))))
+    rows = R.with_times(R.with_scores(R.with_counts(docs, F.col("content"))))
     return run_rows(rows.drop("content"), "ingest")

@@ -1,18 +1,8 @@
 import os
 
-from pyspark.sql import SparkSession
+from quire.session import local_session
 
 
-def make_session() -> SparkSession:
-    cpus = os.environ.get("BENCH_CPUS", "8")
-    spark = (
-        SparkSession.builder.master(f"local[{cpus}]")
-        .appName("quire")
-        .config("spark.sql.shuffle.partitions", cpus)
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.ui.enabled", "false")
-        .config("spark.driver.memory", "8g")
-        .getOrCreate()
-    )
-    spark.sparkContext.setLogLevel("ERROR")
-    return spark
+def make_session():
+    cores = os.environ.get("BENCH_CPUS", "8")
+    return local_session(cores, "8g", cores)
