@@ -172,7 +172,10 @@ def break_ranges(breaks: DataFrame, page_counts: DataFrame) -> DataFrame:
     m = with_neighbors(
         breaks, ["book_id"], "pos", next={"next_page": "page"}, width=1024 * LINES_PER_PAGE
     ).join(page_counts, "book_id")
-    end = F.coalesce(F.greatest(F.col("next_page") - 1, F.col("page")), F.col("pages"))
+    # greatest() skips nulls, so the last break is told apart first
+    end = F.when(F.col("next_page").isNull(), F.col("pages")).otherwise(
+        F.greatest(F.col("next_page") - 1, F.col("page"))
+    )
     return m.select("book_id", "break_no", "title", F.col("page").alias("start_page"), end.cast("int").alias("end_page"))
 
 

@@ -382,7 +382,7 @@ _MARKS = """em as (select * from bookmarks b where level = 1 or not exists (sele
 _BREAKS = rf"""bl as (select book_id, page, trim(unnest(string_split(text, chr(10)))) as title, generate_subscripts(string_split(text, chr(10)), 1) as line from book_pages),
   bf as (select *, row_number() over (partition by book_id order by page, line) as break_no, count(*) over (partition by book_id) as n from bl where regexp_matches(title, {S.quoted(ops.CHAPTER_LINE)})),
   bk as (select book_id, page, title, cast(break_no as int) as break_no from bf where n >= 2),
-  bs as (select book_id, break_no, title, page as start_page, cast(coalesce(greatest(lead(page) over (partition by book_id order by break_no) - 1, page), pages) as int) as end_page from bk join pc using (book_id))"""
+  bs as (select book_id, break_no, title, page as start_page, cast(case when nxt is null then pages else greatest(nxt - 1, page) end as int) as end_page from (select *, lead(page) over (partition by book_id order by break_no) as nxt from bk) join pc using (book_id))"""
 
 
 @query("bookmark_ranges", S.cte("bookmarks", "book_pages") + f", {_COUNTS}, {_MARKS} select * from br where end_page >= start_page and exists (select 1 from book_pages p where p.book_id = br.book_id and page between start_page and end_page and trim(text) <> '')")
