@@ -9,7 +9,7 @@ from quire.functions.payload import parse_rating
 from quire.functions.regex import strip
 from quire.functions.text import title_or_default
 from quire.operators.prompts import render
-from quire.operators.scale import latest_by, ordered_parts, with_rank
+from quire.operators.scale import PART_ROWS, latest_by, ordered_parts, with_rank, with_totals
 from quire.schemas import RATING_CRITERIA
 from quire.sources.views import main_chapters, number_chapters
 
@@ -141,33 +141,32 @@ def aggregate_request(ratings: DataFrame) -> DataFrame:
             for c in RATING_CRITERIA
         ]
     )
-    parts = verdict_list(ratings)
-    last = parts.groupBy("book_id").agg(F.max("part").alias("last"))
     head = F.lit(REQUEST_HEAD)
     for c in RATING_CRITERIA:
         head = F.replace(head, F.lit("{" + c + "}"), F.col(c))
     head = F.replace(head, F.lit("{title}"), F.col("book_id"))
+    # head and tail meet one part each, so the joins are by (book, part) and not by book
+    heads = averages.select("book_id", F.lit(0).alias("part"), head.alias("head"))
+    last = F.floor((F.max("chapter_number") - 1) / PART_ROWS).cast("int")
+    tails = ratings.groupBy("book_id").agg(last.alias("part")).withColumn("tail", F.lit(REQUEST_TAIL))
     return (
-        parts.join(averages, "book_id")
-        .join(last, "book_id")
+        verdict_list(ratings)
+        .join(heads, ["book_id", "part"], "full_outer")
+        .join(tails, ["book_id", "part"], "left")
         .select(
             "book_id",
             "part",
-            F.concat(
-                F.when(F.col("part") == 0, head).otherwise(""),
-                "verdicts",
-                F.when(F.col("part") == F.col("last"), REQUEST_TAIL).otherwise(""),
-            ).alias("request"),
+            F.concat(*[F.coalesce(c, F.lit("")) for c in ("head", "verdicts", "tail")]).alias("request"),
         )
     )
 
 
-def chapter_sections(rows: DataFrame) -> DataFrame:
+def chapter_sections(rows: DataFrame, extra: tuple[Column, ...] = ()) -> DataFrame:
     """'## Chapter n: title' and text, joined by a rule, in parts."""
     head = F.concat(F.lit("## Chapter "), F.col("chapter_number").cast("string"))
     named = F.when(F.coalesce("title", F.lit("")) != "", F.concat(F.lit(": "), F.col("title"))).otherwise("")
     text = F.concat(head, named, F.lit("\n\n"), F.col("content"))
-    return ordered_parts(rows, ["book_id"], "chapter_number", text, "text", RULE)
+    return ordered_parts(rows, ["book_id"], "chapter_number", text, "text", RULE, extra=extra)
 
 
 def book_texts(chapters: DataFrame, books: DataFrame) -> DataFrame:
@@ -211,20 +210,16 @@ def group_sections(sections: DataFrame) -> DataFrame:
 
 def concat_record(extracts: DataFrame) -> DataFrame:
     """Concatenated extraction: free of charge, with the number of chapters in it."""
-    counts = extracts.groupBy("book_id").agg(F.count("*").alias("chapters_included"))
-    return (
-        chapter_sections(extracts)
-        .join(counts, "book_id")
-        .select(
-            "book_id",
-            "part",
-            "text",
-            "chapters_included",
-            F.lit("concatenated_references").alias("prompt_name"),
-            F.lit("concatenation").alias("model"),
-            F.lit(0).alias("tokens"),
-            F.lit(0).cast("decimal(10,6)").alias("cost"),
-        )
+    rows = with_totals(extracts, ["book_id"], "chapter_number", {"included": ("sum", F.lit(1))})
+    return chapter_sections(rows, (F.max("included").alias("chapters_included"),)).select(
+        "book_id",
+        "part",
+        "text",
+        "chapters_included",
+        F.lit("concatenated_references").alias("prompt_name"),
+        F.lit("concatenation").alias("model"),
+        F.lit(0).alias("tokens"),
+        F.lit(0).cast("decimal(10,6)").alias("cost"),
     )
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import money as M
-from quire.operators.scale import with_running
+from quire.operators.scale import with_running, with_totals
+from quire.sources.tables import materialize
 
 
 @dataclass(frozen=True)
@@ -111,19 +112,22 @@ def stop_at_first_refusal(calls: DataFrame, s: Settings) -> DataFrame:
     the run's own totals. They come from the bucketed scan: a key may hold any number of
     calls.
     """
-    rows = calls.withColumn("month", month_key(F.col("day")))
-    rows = with_running(rows, ["budget_key", "day"], "call_id", {"day_n": ("sum", F.lit(1))})
-    rows = with_running(rows, ["budget_key", "month"], "call_id", {"month_sum": ("sum", "cost")})
+    base = calls.withColumn("month", month_key(F.col("day")))
+    rows = with_running(base, ["budget_key", "day"], "call_id", {"day_n": ("sum", F.lit(1))})
+    rows = with_running(
+        rows, ["budget_key", "month"], "call_id", {"month_sum": ("sum", "cost")}, totals_of=base
+    )
     why = refusal(F.lit(s.enabled), F.col("day_n") - 1, F.col("month_sum") - F.col("cost"), F.col("cost"), s)
-    rows = rows.withColumn("refused", why)
-    cut = rows.groupBy("budget_key").agg(
-        F.min(F.when(F.col("refused").isNotNull(), F.col("call_id"))).alias("cut")
+    judged = materialize(
+        calls.sparkSession, rows.select("budget_key", "call_id", "day", "cost", why.alias("refused")), "judged"
     )
-    c = F.col("call_id")
-    return rows.join(cut, "budget_key", "left").withColumn(
+    c, cut = F.col("call_id"), F.col("cut")
+    return with_totals(
+        judged, ["budget_key"], "call_id", {"cut": ("min", F.when(F.col("refused").isNotNull(), c))}
+    ).withColumn(
         "outcome",
-        F.when(F.col("cut").isNull() | (c < F.col("cut")), "admitted")
-        .when(c == F.col("cut"), F.concat(F.lit("refused: "), F.col("refused")))
+        F.when(cut.isNull() | (c < cut), "admitted")
+        .when(c == cut, F.concat(F.lit("refused: "), F.col("refused")))
         .otherwise("not reached"),
     )
 
@@ -146,7 +150,11 @@ def skip_and_continue(calls: DataFrame, s: Settings) -> DataFrame:
         "budget_key", "day", "call_id", "cost", F.floor(F.col("call_id") / width).alias("bucket")
     )
     same_cost = Window.partitionBy("budget_key", "day", "cost").orderBy("call_id")
-    first = base.withColumn("k", F.row_number().over(same_cost)).filter(F.col("k") <= s.daily_limit).drop("k")
+    first = materialize(
+        calls.sparkSession,
+        base.withColumn("k", F.row_number().over(same_cost)).filter(F.col("k") <= s.daily_limit).drop("k"),
+        "candidates",
+    )
 
     opening = first.groupBy("budget_key", "day").agg(F.min("bucket").alias("open"))
     by_cost = Window.partitionBy("budget_key", "day").orderBy("cost", "call_id")
@@ -179,22 +187,23 @@ def skip_and_continue(calls: DataFrame, s: Settings) -> DataFrame:
         .select(F.explode(fold).alias("call_id"))
         .withColumn("admitted", F.lit(True))
     )
-    marked = calls.join(admitted, "call_id", "left")
-    full = (
-        marked.filter(F.col("admitted"))
-        .groupBy("budget_key", "day")
-        .agg(F.count("*").alias("n"), F.max("call_id").alias("last_admitted"))
-        .filter(F.col("n") >= s.daily_limit)
-        .drop("n")
+    marked = materialize(
+        calls.sparkSession,
+        calls.select("call_id", "budget_key", "day", "cost").join(admitted, "call_id", "left"),
+        "marked",
     )
-    return (
-        marked.join(full, ["budget_key", "day"], "left")
-        .withColumn(
-            "outcome",
-            F.when(F.lit(not s.enabled), "emergency stop")
-            .when(F.col("admitted"), "admitted")
-            .when(F.col("call_id") > F.col("last_admitted"), "daily")
-            .otherwise("monthly"),
-        )
-        .drop("admitted", "last_admitted")
+    hit = F.col("admitted")
+    rows = with_totals(
+        marked,
+        ["budget_key", "day"],
+        "call_id",
+        {"n": ("sum", F.when(hit, 1)), "last_admitted": ("max", F.when(hit, F.col("call_id")))},
     )
+    full = (F.col("n") >= s.daily_limit) & (F.col("call_id") > F.col("last_admitted"))
+    return rows.withColumn(
+        "outcome",
+        F.when(F.lit(not s.enabled), "emergency stop")
+        .when(hit, "admitted")
+        .when(full | F.lit(s.daily_limit == 0), "daily")
+        .otherwise("monthly"),
+    ).drop("admitted", "n", "last_admitted")

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.regex import strip
-
 # Fixed values.
 MAX_BYTES = 52428800
 EXTENSIONS = [".epub", ".pdf"]
@@ -30,10 +28,12 @@ def admission(name: Column, size: Column, content_type: Column) -> Column:
 
 
 def text_gate(first_pages: DataFrame) -> DataFrame:
-    """More than 100 trimmed characters a page over the first pages, else it is a scan."""
+    """More than 100 trimmed characters a page over the first pages, else it is a scan.
+
+    ``first_pages`` holds trimmed lengths, not texts."""
     return (
         first_pages.groupBy("book_id")
-        .agg(F.count("*").alias("checked"), F.sum(F.length(strip(F.col("text")))).alias("chars"))
+        .agg(F.count("*").alias("checked"), F.sum("chars").alias("chars"))
         .withColumn("has_text", F.col("chars") > F.col("checked") * GATE_CHARS)
     )
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.operators.scale import with_group_values, with_neighbors
+from quire.operators.scale import with_neighbors, with_totals
 from quire.sources.views import main_chapters
 
 ORDERS = {
@@ -22,7 +22,7 @@ ORDERS = {
 def of_type(books: DataFrame, book_type: str | None) -> DataFrame:
     """Books of a type (all without one), each with the number of books in the list."""
     rows = books if book_type is None else books.filter(F.col("book_type") == book_type)
-    return with_group_values(rows, ["book_type"], of_type=F.count("*"))
+    return with_totals(rows, ["book_type"], "created", {"of_type": ("sum", F.lit(1))})
 
 
 def sorted_books(books: DataFrame, order: str) -> DataFrame:
@@ -31,7 +31,9 @@ def sorted_books(books: DataFrame, order: str) -> DataFrame:
 
 
 def main_with_count(chapters: DataFrame) -> DataFrame:
-    return with_group_values(main_chapters(chapters), ["book_id"], main_chapters=F.count("*"))
+    return with_totals(
+        main_chapters(chapters), ["book_id"], "chapter_number", {"main_chapters": ("sum", F.lit(1))}
+    )
 
 
 def navigation(chapters: DataFrame) -> DataFrame:

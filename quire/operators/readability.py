@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import readability as R
 from quire.functions.text import title_or_default
-from quire.operators.scale import with_group_values, with_rank
+from quire.operators.scale import with_totals, with_rank
 from quire.sources.views import main_chapters, number_chapters, with_flags
 
 
@@ -81,7 +81,7 @@ def hardest_easiest(analysed: DataFrame) -> DataFrame:
 
 def chapter_curve(analysed: DataFrame) -> DataFrame:
     """Each chapter's reading time as a whole percent of the longest one in the book."""
-    rows = with_group_values(analysed, ["book_id"], max_minutes=F.max("minutes"))
+    rows = with_totals(analysed, ["book_id"], "chapter_number", {"max_minutes": ("max", "minutes")})
     pct = F.when(
         F.col("max_minutes") > 0, F.round(F.col("minutes") / F.col("max_minutes") * 100).cast("int")
     ).otherwise(0)
@@ -92,7 +92,7 @@ def difficulty_trend(analysed: DataFrame) -> DataFrame:
     """Trend text of a book from its grade sequence."""
     small = analysed.select("book_id", "chapter_number", "fk_grade")
     ranked = with_rank(small, ["book_id"], "chapter_number", "i")
-    rows = with_group_values(ranked, ["book_id"], n=F.count("*"))
+    rows = with_totals(ranked, ["book_id"], "chapter_number", {"n": ("sum", F.lit(1))})
     third = F.greatest(F.lit(1), F.floor(F.col("n") / 3))
     exact = F.col("fk_grade").cast("decimal(10,1)")
     grade, number = F.col("fk_grade"), F.col("chapter_number")
@@ -138,8 +138,11 @@ def curve_points(analysed: DataFrame) -> DataFrame:
     left, top, width, height = 50, 20, 630, 220
     small = analysed.select("book_id", "chapter_number", "fk_grade", "tier")
     ranked = with_rank(small, ["book_id"], "chapter_number", "i")
-    rows = with_group_values(
-        ranked, ["book_id"], n=F.count("*"), low=F.min("fk_grade"), high=F.max("fk_grade")
+    rows = with_totals(
+        ranked,
+        ["book_id"],
+        "chapter_number",
+        {"n": ("sum", F.lit(1)), "low": ("min", "fk_grade"), "high": ("max", "fk_grade")},
     ).filter(F.col("n") >= 2)
     n, idx = F.col("n"), F.col("i") - 1
     y_min = F.greatest(F.lit(0.0), F.floor(F.col("low") / 2) * 2 - 2.0)

@@ -34,26 +34,42 @@ def _attach(df: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.join(edges, list(keys), "left")
 
 
+FUNCTIONS = {"sum": F.sum, "max": F.max, "min": F.min}
+
+
+def _with_values(df: DataFrame, aggs: dict[str, tuple[str, Column | str]]) -> DataFrame:
+    values = {f"__v_{out}": c if isinstance(c, Column) else F.col(c) for out, (_, c) in aggs.items()}
+    return df.withColumns(values)
+
+
+def _bucket_totals(
+    df: DataFrame, group: list[str], order: str, aggs: dict[str, tuple[str, Column | str]], width: int
+) -> DataFrame:
+    """One row per (group, bucket); combines map-side."""
+    return (
+        _with_values(_bucketed(df, order, width), aggs)
+        .groupBy(*group, BUCKET)
+        .agg(*[FUNCTIONS[kind](f"__v_{out}").alias(f"__t_{out}") for out, (kind, _) in aggs.items()])
+    )
+
+
 def with_running(
     df: DataFrame,
     group: Sequence[str],
     order: str,
     aggs: dict[str, tuple[str, Column | str]],
     width: int = WIDTH,
+    totals_of: DataFrame | None = None,
 ) -> DataFrame:
     """Add inclusive running aggregates over ``order`` inside ``group``.
 
     ``aggs`` maps an output name to ("sum" | "max", column). Nulls are skipped.
+    ``totals_of`` may name a cheaper table with the same rows and the columns used here.
     """
-    fn = {"sum": F.sum, "max": F.max}
+    fn = FUNCTIONS
     group = list(group)
-    src = df
-    for out, (_, c) in aggs.items():
-        src = src.withColumn(f"__v_{out}", c if isinstance(c, Column) else F.col(c))
-    src = _bucketed(src, order, width)
-    totals = src.groupBy(*group, BUCKET).agg(
-        *[fn[kind](f"__v_{out}").alias(f"__t_{out}") for out, (kind, _) in aggs.items()]
-    )
+    src = _with_values(_bucketed(df, order, width), aggs)
+    totals = _bucket_totals(totals_of if totals_of is not None else df, group, order, aggs, width)
     before = Window.partitionBy(*group).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     edges = totals.select(
         *group,
@@ -123,14 +139,25 @@ def with_neighbors(
     )
 
 
-def with_group_values(df: DataFrame, group: Sequence[str], **aggs: Column) -> DataFrame:
-    """Add group aggregates to each row by aggregate-and-join.
+def with_totals(
+    df: DataFrame,
+    group: Sequence[str],
+    order: str,
+    aggs: dict[str, tuple[str, Column | str]],
+    width: int = WIDTH,
+) -> DataFrame:
+    """Add aggregates of the whole group to each row.
 
-    Replaces ``agg.over(partitionBy(group))``: the aggregate combines map-side and
-    the join of the small result may be split or broadcast by AQE from its real size.
+    Replaces ``agg.over(partitionBy(group))`` and aggregate-and-join on the group alone:
+    the join is on (group, bucket), so a hot group stays spread over many tasks.
     """
-    right = df.groupBy(*group).agg(*[c.alias(n) for n, c in aggs.items()])
-    return _attach(df, right, list(group))
+    group = list(group)
+    whole = Window.partitionBy(*group)
+    edges = _bucket_totals(df, group, order, aggs, width).select(
+        *group, BUCKET, *[FUNCTIONS[kind](f"__t_{out}").over(whole).alias(out) for out, (kind, _) in aggs.items()]
+    )
+    kept = df.drop(*[c for c in aggs if c in df.columns])
+    return _attach(_bucketed(kept, order, width), edges, [*group, BUCKET]).drop(BUCKET)
 
 
 def ordered_parts(
@@ -142,19 +169,20 @@ def ordered_parts(
     sep: str,
     part_rows: int = PART_ROWS,
     descending: bool = False,
+    extra: Sequence[Column] = (),
 ) -> DataFrame:
     """Join texts in order into parts of at most ``part_rows`` rows each.
 
     ``number`` is unique inside the group and starts at 1. The parts of a group,
     joined by ``sep`` in ``part`` order, are the whole text; a group of up to
-    ``part_rows`` numbers has the single part 0.
+    ``part_rows`` numbers has the single part 0. ``extra`` are more aggregates of a part.
     """
     c = text if isinstance(text, Column) else F.col(text)
     items = F.sort_array(F.collect_list(F.struct(F.col(number).alias("n"), c.alias("t"))), asc=not descending)
     return (
         df.withColumn("part", F.floor((F.col(number) - 1) / F.lit(part_rows)).cast("int"))
         .groupBy(*group, "part")
-        .agg(F.array_join(F.transform(items, lambda x: x["t"]), sep).alias(out))
+        .agg(F.array_join(F.transform(items, lambda x: x["t"]), sep).alias(out), *extra)
     )
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from quire.functions.regex import strip, substitute
 from quire.functions.text import decode_entities
-from quire.operators.scale import ordered_parts, with_neighbors, with_rank, with_running
+from quire.operators.scale import ordered_parts, with_neighbors, with_rank, with_running, with_totals
+from quire.sources.tables import materialize
 
 # Fixed values.
 PAGES_PER_SEGMENT = 30
@@ -128,8 +129,17 @@ def between_anchors(html: Column, start: str, end: str | None) -> Column:
 
 def effective_bookmarks(marks: DataFrame) -> DataFrame:
     """Level 1 entries; all entries of a book that has none."""
-    tops = marks.groupBy("book_id").agg(F.max((F.col("level") == 1).cast("int")).alias("has_top"))
-    return marks.join(tops, "book_id").filter((F.col("level") == 1) | (F.col("has_top") == 0)).drop("has_top")
+    top = F.col("level") == 1
+    rows = with_totals(marks, ["book_id"], "page", {"has_top": ("max", top.cast("int"))})
+    return rows.filter(top | (F.col("has_top") == 0)).drop("has_top")
+
+
+def _close_last(rows: DataFrame, next_col: str, page_counts: DataFrame) -> DataFrame:
+    """Add ``pages`` where there is no next range: one row per book meets the page counts."""
+    rows = materialize(rows.sparkSession, rows, "open-ranges")
+    last = rows.filter(F.col(next_col).isNull()).join(page_counts, "book_id")
+    rest = rows.filter(F.col(next_col).isNotNull()).withColumn("pages", F.lit(None).cast("bigint"))
+    return last.unionByName(rest)
 
 
 def bookmark_ranges(marks: DataFrame, page_counts: DataFrame) -> DataFrame:
@@ -140,43 +150,47 @@ def bookmark_ranges(marks: DataFrame, page_counts: DataFrame) -> DataFrame:
         "start_page",
         next={"next_start": "start_page"},
     )
+    end = F.coalesce(F.col("next_start") - 1, F.col("pages")).cast("int")
     return (
-        m.join(page_counts, "book_id")
-        .select(
-            "book_id", "title", "start_page",
-            F.coalesce(F.col("next_start") - 1, F.col("pages")).cast("int").alias("end_page"),
-        )
+        _close_last(m, "next_start", page_counts)
+        .select("book_id", "title", "start_page", end.alias("end_page"))
         .filter(F.col("end_page") >= F.col("start_page"))
     )
 
 
 def heading_breaks(pages: DataFrame) -> DataFrame:
-    """Lines that open a chapter, numbered per book; books with fewer than two have none."""
+    """Lines that open a chapter, numbered per book; books with fewer than two have none.
+
+    The text is searched once; what was found is written, as the steps after it branch.
+    """
     lines = pages.select(
         "book_id",
         "page",
         F.posexplode(F.split("text", "\n")).alias("line", "raw"),
     ).withColumn("title", strip(F.col("raw")))
-    found = lines.filter(F.col("title").rlike(CHAPTER_LINE)).select(
-        "book_id", "page", "title", (F.col("page").cast("bigint") * LINES_PER_PAGE + F.col("line")).alias("pos")
-    )
-    enough = found.groupBy("book_id").agg(F.count("*").alias("n")).filter(F.col("n") >= 2)
-    return with_rank(
-        found.join(enough.select("book_id"), "book_id", "left_semi"),
-        ["book_id"], "pos", "break_no", width=1024 * LINES_PER_PAGE,
+    found = materialize(
+        pages.sparkSession,
+        lines.filter(F.col("title").rlike(CHAPTER_LINE)).select(
+            "book_id", "page", "title", (F.col("page").cast("bigint") * LINES_PER_PAGE + F.col("line")).alias("pos")
+        ),
+        "heading-lines",
     )
+    width = 1024 * LINES_PER_PAGE
+    ranked = with_rank(found, ["book_id"], "pos", "break_no", width)
+    counted = with_totals(ranked, ["book_id"], "pos", {"n": ("max", "break_no")}, width)
+    return counted.filter(F.col("n") >= 2).drop("n")
 
 
 def break_ranges(breaks: DataFrame, page_counts: DataFrame) -> DataFrame:
     """End = page before the next break, never before the start; the last to the end of the book."""
-    m = with_neighbors(
-        breaks, ["book_id"], "pos", next={"next_page": "page"}, width=1024 * LINES_PER_PAGE
-    ).join(page_counts, "book_id")
+    m = with_neighbors(breaks, ["book_id"], "pos", next={"next_page": "page"}, width=1024 * LINES_PER_PAGE)
     # greatest() skips nulls, so the last break is told apart first
     end = F.when(F.col("next_page").isNull(), F.col("pages")).otherwise(
         F.greatest(F.col("next_page") - 1, F.col("page"))
     )
-    return m.select("book_id", "break_no", "title", F.col("page").alias("start_page"), end.cast("int").alias("end_page"))
+    return _close_last(m, "next_page", page_counts).select(
+        "book_id", "break_no", "title", F.col("page").alias("start_page"), end.cast("int").alias("end_page")
+    )
 
 
 def pages_of_ranges(pages: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -206,38 +220,46 @@ def pages_of_ranges(pages: DataFrame, ranges: DataFrame) -> DataFrame:
     return carried.unionByName(own)
 
 
-def range_summary(paged: DataFrame) -> DataFrame:
-    """Pages and characters per range; ranges with blank text are dropped."""
+def page_sizes(pages: DataFrame) -> DataFrame:
+    """Pages without their text: length, and length without white space at the ends."""
+    return pages.select(
+        "book_id", "page", F.length("text").alias("chars"), F.length(strip(F.col("text"))).alias("inked")
+    )
+
+
+def range_summary(held: DataFrame) -> DataFrame:
+    """Pages and characters per range, from page sizes; ranges with blank text are dropped."""
     return (
-        paged.groupBy("book_id", "range_no")
-        .agg(F.count("*").alias("pages"), F.sum(F.length("text")).alias("chars"),
-             F.sum(F.length(strip(F.col("text")))).alias("inked"))
+        held.groupBy("book_id", "range_no")
+        .agg(F.count("*").alias("pages"), F.sum("chars").alias("chars"), F.sum("inked").alias("inked"))
         .filter(F.col("inked") > 0)
         .drop("inked")
     )
 
 
-def range_text(paged: DataFrame) -> DataFrame:
-    """Text of a range in parts, pages joined by a blank line."""
-    return ordered_parts(paged, ["book_id", "range_no"], "page", "text", "text", "\n\n")
+def range_text(pages: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Text of each range in parts, pages joined by a blank line. The ranges are found on keys;
+    texts join once, by page."""
+    held = pages_of_ranges(pages.select("book_id", "page"), ranges)
+    return ordered_parts(
+        pages.join(held, ["book_id", "page"]), ["book_id", "range_no"], "page", "text", "text", "\n\n"
+    )
 
 
-def fixed_segments(pages: DataFrame, page_counts: DataFrame) -> DataFrame:
-    """Thirty pages to a segment; blank ones dropped."""
+def fixed_segments(pages: DataFrame) -> DataFrame:
+    """Thirty pages to a segment; blank ones dropped. Pages are numbered without gaps, so a
+    segment's last page is its greatest."""
     seg = F.floor((F.col("page") - 1) / PAGES_PER_SEGMENT)
     items = F.array_sort(F.collect_list(F.struct("page", "text")))
     rows = (
         pages.withColumn("segment", seg.cast("int"))
         .groupBy("book_id", "segment")
-        .agg(F.array_join(F.transform(items, lambda x: x["text"]), "\n\n").alias("text"))
+        .agg(F.array_join(F.transform(items, lambda x: x["text"]), "\n\n").alias("text"), F.max("page").alias("end"))
         .filter(strip(F.col("text")) != "")
     )
     start = F.col("segment") * PAGES_PER_SEGMENT + 1
-    end = F.least(start + PAGES_PER_SEGMENT - 1, F.col("pages"))
-    return rows.join(page_counts, "book_id").select(
-        "book_id", "segment",
-        F.concat(F.lit("Pages "), start.cast("string"), F.lit("-"), end.cast("string")).alias("title"), "text",
-    )
+    title = F.concat(F.lit("Pages "), start.cast("string"), F.lit("-"), F.col("end").cast("string"))
+    return rows.select("book_id", "segment", title.alias("title"), "text")
 
 
 def strategies(page_counts: DataFrame, marks: DataFrame, breaks: DataFrame) -> DataFrame:

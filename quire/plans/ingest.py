@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quire.functions import readability as R
+from quire.functions.regex import strip
 from quire.functions.text import safe_file_name, word_count
 from quire.operators import analysis, ingest as ops
 from quire.operators import readability as reads
@@ -78,7 +79,7 @@ def text_gate(spark, root):
     pages = read_table(spark, root, "documents").select(
         F.concat_ws("-", "source", "lang").alias("book_id"),
         "doc_id",
-        F.when(d % 3 == 0, F.concat(F.lit("  "), "lang", F.lit("  "))).otherwise(F.col("text")).alias("text"),
+        F.length(strip(F.when(d % 3 == 0, F.concat(F.lit("  "), "lang", F.lit("  "))).otherwise(F.col("text")))).alias("chars"),
     )
     w = Window.partitionBy("book_id").orderBy("doc_id")
     first = pages.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= ops.GATE_PAGES)

@@ -170,17 +170,19 @@ def cascade_delete(spark, root):
     owned = versions(spark, root).join(
         chapters.withColumnRenamed("chapter_id", "item_id"), "item_id"
     ).select("book_id", "summary_id", "prompt_name")
-    left = ops.without_books({"books": all_books.select("book_id"), "chapters": chapters, "summaries": owned}, gone)
     prompts = read_table(spark, root, "conversations").select(F.col("role").alias("prompt_name")).distinct()
-    left["summaries"] = ops.without_prompts(left["summaries"], prompts.filter(F.col("prompt_name") == "user"))
-    out = None
-    for name, df in left.items():
-        prompt = F.col("prompt_name") if "prompt_name" in df.columns else F.lit(None).cast("string")
-        rows = df.groupBy("book_id", prompt.alias("prompt_name")).agg(F.count("*").alias("n")).select(
-            F.lit(name).alias("tbl"), "book_id", "prompt_name", "n"
-        )
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    owned = ops.without_prompts(owned, prompts.filter(F.col("prompt_name") == "user"))
+
+    # counted before the anti-join, so that meets one row per book and prompt
+    def counted(df, prompt=None):
+        key = F.lit(None).cast("string") if prompt is None else F.col(prompt)
+        return df.groupBy("book_id", key.alias("prompt_name")).agg(F.count("*").alias("n"))
+
+    left = ops.without_books(
+        {"books": counted(all_books), "chapters": counted(chapters), "summaries": counted(owned, "prompt_name")}, gone
+    )
+    rows = [df.select(F.lit(name).alias("tbl"), "book_id", "prompt_name", "n") for name, df in left.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
 @query(

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
-from quire.functions.regex import strip
 from quire.operators import segments as ops
 from quire.operators.scale import with_rank
 from quire.plans import sqlkit as S
@@ -389,9 +388,9 @@ _BREAKS = rf"""bl as (select book_id, page, trim(unnest(string_split(text, chr(1
 def bookmark_ranges(spark, root):
     pages = book_pages(spark, root)
     ranges = materialize(spark, ops.bookmark_ranges(bookmarks(spark, root), _page_counts(pages)), "ranges")
-    inked = materialize(spark, pages.select("book_id", "page", (F.length(strip(F.col("text"))) > 0).alias("inked")), "inked")
-    held = ops.pages_of_ranges(inked, ranges.withColumn("range_no", F.col("start_page")))
-    full = held.filter("inked").select("book_id", F.col("range_no").alias("start_page")).distinct()
+    sizes = materialize(spark, ops.page_sizes(pages), "sizes")
+    held = ops.pages_of_ranges(sizes, ranges.withColumn("range_no", F.col("start_page")))
+    full = ops.range_summary(held).select("book_id", F.col("range_no").alias("start_page"))
     return ranges.join(full, ["book_id", "start_page"], "left_semi").select("book_id", "title", "start_page", "end_page")
 
 
@@ -402,8 +401,7 @@ def heading_segments(spark, root):
 
 
 def _break_ranges(spark, root, pages):
-    breaks = materialize(spark, ops.heading_breaks(pages), "breaks")
-    return ops.break_ranges(breaks, _page_counts(pages))
+    return ops.break_ranges(ops.heading_breaks(pages), _page_counts(pages))
 
 
 @query(
@@ -415,7 +413,8 @@ def _break_ranges(spark, root, pages):
 def break_segments(spark, root):
     pages = book_pages(spark, root)
     ranges = materialize(spark, _break_ranges(spark, root, pages), "segments")
-    held = ops.pages_of_ranges(pages, ranges.withColumnRenamed("break_no", "range_no"))
+    sizes = materialize(spark, ops.page_sizes(pages), "sizes")
+    held = ops.pages_of_ranges(sizes, ranges.withColumnRenamed("break_no", "range_no"))
     sums = ops.range_summary(held).withColumnRenamed("range_no", "break_no")
     return ranges.join(sums, ["book_id", "break_no"]).select(
         "book_id", "break_no", "title", "start_page", "end_page", "pages", "chars"
@@ -429,8 +428,7 @@ def break_segments(spark, root):
       select book_id, (page - 1) // 30 as segment, string_agg(text, chr(10) || chr(10) order by page) as text from book_pages group by all) join pc using (book_id) where trim(text) <> ''""",
 )
 def fixed_segments(spark, root):
-    pages = book_pages(spark, root)
-    return ops.fixed_segments(pages, _page_counts(pages))
+    return ops.fixed_segments(book_pages(spark, root))
 
 
 @query(
@@ -456,7 +454,7 @@ def segment_strategy(spark, root):
 def range_text(spark, root):
     pages = book_pages(spark, root)
     ranges = materialize(spark, ops.bookmark_ranges(bookmarks(spark, root), _page_counts(pages)), "ranges")
-    return ops.range_text(ops.pages_of_ranges(pages, ranges.withColumn("range_no", F.col("start_page"))))
+    return ops.range_text(pages, ranges.withColumn("range_no", F.col("start_page")))
 
 
 @query(

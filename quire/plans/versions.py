@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quire.functions.payload import payload_text
 from quire.functions.text import title_or_default
 from quire.operators import versions as ops
+from quire.operators.scale import with_totals
 from quire.plans import sqlkit as S
 from quire.plans.registry import query
 from quire.sources.tables import read_table
@@ -80,17 +81,13 @@ def latest_created(spark, root):
     order by item_id, created_s desc""",
 )
 def item_history(spark, root):
-    """All results of an item by time; the newest is found by an aggregate, not a window."""
+    """All results of an item by time, the newest marked."""
     rows = ops.with_text(versions(spark, root))
-    newest = rows.groupBy("item_id").agg(F.max_by("summary_id", F.struct("created_s", "summary_id")).alias("newest"))
-    return (
-        rows.join(newest, "item_id")
-        .select(
-            "item_id", "created_s", "prompt_name", "version", "body",
-            (F.col("summary_id") == F.col("newest")).alias("shown_first"),
-        )
-        .orderBy("item_id", F.desc("created_s"))
-    )
+    at = F.struct("created_s", "summary_id")
+    newest = with_totals(rows, ["item_id"], "summary_id", {"newest": ("max", at)})
+    return newest.select(
+        "item_id", "created_s", "prompt_name", "version", "body", (F.col("newest") == at).alias("shown_first")
+    ).orderBy("item_id", F.desc("created_s"))
 
 
 @query(

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from quire.operators.scale import (
     latest_by,
     ordered_parts,
-    with_group_values,
     with_neighbors,
     with_rank,
     with_running,
+    with_totals,
 )
 
 
@@ -54,10 +54,11 @@ def test_neighbors_keep_null_values(rows, width):
     same(got, want)
 
 
-def test_group_values(rows):
+@pytest.mark.parametrize("width", [1, 7, 8192])
+def test_totals(rows, width):
     w = Window.partitionBy("g")
-    same(with_group_values(rows, ["g"], n=F.count("*"), top=F.max("v")),
-         rows.withColumn("n", F.count("*").over(w)).withColumn("top", F.max("v").over(w)))
+    got = with_totals(rows, ["g"], "k", {"n": ("sum", F.lit(1)), "top": ("max", "v"), "low": ("min", "v")}, width)
+    same(got, rows.withColumn("n", F.count("*").over(w)).withColumn("top", F.max("v").over(w)).withColumn("low", F.min("v").over(w)))
 
 
 @pytest.mark.parametrize("descending", [False, True])
