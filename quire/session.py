@@ -10,6 +10,7 @@ SETTINGS = {
     # re-plan from real sizes: broadcast small sides, split skewed join partitions
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # long regular-expression chains make methods the JVM refuses to compile (over 8000
     # bytes); above this limit Spark splits the stage into small methods, twice as fast
     "spark.sql.codegen.hugeMethodLimit": "8000",
