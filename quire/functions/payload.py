@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quire.functions.regex import strip
+from quire.functions.regex import bind, strip
 from quire.schemas import RATING
 
 
@@ -46,4 +46,4 @@ def parse_rating(response: Column) -> Column:
     """Rating struct, null as a whole when there is no valid JSON."""
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in RATING.fields) + ", _bad string"
     parsed = F.from_json(response_json(response), schema, {"columnNameOfCorruptRecord": "_bad"})
-    return F.when(parsed["_bad"].isNull() & parsed.isNotNull(), parsed)
+    return bind(parsed, lambda p: F.when(p["_bad"].isNull() & p.isNotNull(), p))

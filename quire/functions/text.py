@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quire.functions.regex import count_matches, strip, substitute
+from quire.functions.regex import bind, count_matches, strip, substitute
 
 # --- fixed values: patterns that decide results ------------------------------------
 
@@ -143,7 +143,6 @@ def decode_entities(c: Column) -> Column:
 
 def decode_numeric_entities(c: Column) -> Column:
     """Replace &#NNN; with its character; text without such forms takes the first branch."""
-    pieces = F.split(c, "&#")
 
     def decode(x: Column, i: Column) -> Column:
         code = F.regexp_extract(x, r"^(\d{1,7});", 1)
@@ -153,7 +152,12 @@ def decode_numeric_entities(c: Column) -> Column:
             F.concat(char, F.regexp_replace(x, r"^\d{1,7};", ""))
         )
 
-    return F.when(~F.contains(c, F.lit("&#")), c).otherwise(F.array_join(F.transform(pieces, decode), ""))
+    return bind(
+        c,
+        lambda t: F.when(~F.contains(t, F.lit("&#")), t).otherwise(
+            F.array_join(F.transform(F.split(t, "&#"), decode), "")
+        ),
+    )
 
 
 def html_body_to_markdown(c: Column) -> Column:
@@ -187,6 +191,10 @@ def markdown_tidy(c: Column) -> Column:
 
 def heading_normalize(c: Column) -> Column:
     """First heading to level 1; the others keep their distance to the smallest level."""
+    return bind(c, _normalized)
+
+
+def _normalized(c: Column) -> Column:
     shifted = F.regexp_replace(c, r"(?md)^(#{1,6})[^\S\n]+(\S.*)$", "$1 $2")
     shortest = F.when(c.rlike(r"(?md)^#[^\S\n]"), 1)
     for n in range(2, 7):
@@ -230,10 +238,11 @@ def html_plain_text(c: Column) -> Column:
 
 
 def title_prefix(md: Column, title: Column) -> Column:
-    return F.when(
-        (F.coalesce(title, F.lit("")) != "") & ~md.startswith("# "),
-        F.concat(F.lit("# "), title, F.lit("\n\n"), md),
-    ).otherwise(md)
+    given = F.coalesce(title, F.lit("")) != ""
+    return bind(
+        md,
+        lambda m: F.when(given & ~m.startswith("# "), F.concat(F.lit("# "), title, F.lit("\n\n"), m)).otherwise(m),
+    )
 
 
 def text_to_html(c: Column) -> Column:
