@@ -97,8 +97,7 @@ def with_running(
 
 def with_rank(df: DataFrame, group: Sequence[str], order: str, out: str, width: int = WIDTH) -> DataFrame:
     """Add the 1-based position of each row inside its group (``order`` is unique there)."""
-    ranked = with_running(df, group, order, {out: ("sum", F.lit(1))}, width)
-    return ranked.withColumn(out, F.col(out).cast("int"))
+    return with_running(df, group, order, {out: ("sum", F.lit(1))}, width)
 
 
 def with_neighbors(

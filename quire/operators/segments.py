@@ -150,7 +150,7 @@ def bookmark_ranges(marks: DataFrame, page_counts: DataFrame) -> DataFrame:
         "start_page",
         next={"next_start": "start_page"},
     )
-    end = F.coalesce(F.col("next_start") - 1, F.col("pages")).cast("int")
+    end = F.coalesce(F.col("next_start") - 1, F.col("pages"))
     return (
         _close_last(m, "next_start", page_counts)
         .select("book_id", "title", "start_page", end.alias("end_page"))
@@ -171,7 +171,7 @@ def heading_breaks(pages: DataFrame) -> DataFrame:
     found = materialize(
         pages.sparkSession,
         lines.filter(F.col("title").rlike(CHAPTER_LINE)).select(
-            "book_id", "page", "title", (F.col("page").cast("bigint") * LINES_PER_PAGE + F.col("line")).alias("pos")
+            "book_id", "page", "title", (F.col("page") * LINES_PER_PAGE + F.col("line")).alias("pos")
         ),
         "heading-lines",
     )
@@ -189,7 +189,7 @@ def break_ranges(breaks: DataFrame, page_counts: DataFrame) -> DataFrame:
         F.greatest(F.col("next_page") - 1, F.col("page"))
     )
     return _close_last(m, "next_page", page_counts).select(
-        "book_id", "break_no", "title", F.col("page").alias("start_page"), end.cast("int").alias("end_page")
+        "book_id", "break_no", "title", F.col("page").alias("start_page"), end.alias("end_page")
     )
 
 

@@ -157,7 +157,7 @@ def sink_chapters(spark, root):
     path = work_dir(spark, "chapters")
     write_by_book(chapters(spark, root), path, "chapter_id")
     back = spark.read.schema(
-        "book_id string, chapter_id bigint, chapter_number int, title string, content string, book_bucket int"
+        "book_id string, chapter_id bigint, chapter_number bigint, title string, content string, book_bucket int"
     ).parquet(path)
     return back.select("book_id", "chapter_id", "chapter_number", "title", F.md5(F.encode("content", "UTF-8")).alias("checksum"))
 
