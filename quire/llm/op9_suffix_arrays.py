@@ -41,32 +41,46 @@ SHARD_BYTES = 6 << 20
 PIECE_BYTES = 3 << 20
 
 
-def window_anchors(buf: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Start and anchor of every window of the texts."""
-    gram = min(GRAM, size)
-    n = len(buf)
+def slide(values: np.ndarray, span: int, best) -> np.ndarray:
+    """``best`` (minimum or maximum) of every ``span`` consecutive values, by doubling."""
+    have = 1
+    while 2 * have <= span:
+        values = best(values[:-have], values[have:])
+        have *= 2
+    return best(values[: len(values) - (span - have)], values[span - have :]) if span > have else values
+
+
+def window_anchors(buf: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of every gram; anchor at every place; whether a window of one text begins there."""
+    gram, n = min(GRAM, size), len(buf)
     if n < size:
-        return np.zeros(0, np.int64), np.zeros(0, U64)
+        return np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, bool)
     at = np.arange(n - gram + 1)
-    least = mix(rolled(BYTE[buf], at, at + gram))
-    # minimum over size - gram + 1 grams, by doubling
-    need, have = size - gram + 1, 1
-    while 2 * have <= need:
-        least = np.minimum(least[:-have], least[have:])
-        have *= 2
-    if need > have:
-        least = np.minimum(least[: len(least) - (need - have)], least[need - have :])
+    grams = mix(rolled(BYTE[buf], at, at + gram)) | U64(1)
     end = np.repeat(off[1:], np.diff(off))
-    start = np.flatnonzero(np.arange(n - size + 1) + size <= end[: n - size + 1])
-    return start, least[start]
+    return grams, slide(grams, size - gram + 1, np.minimum), np.arange(n - size + 1) + size <= end[: n - size + 1]
+
+
+def anchor_places(buf: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Every gram that is the anchor of some window: text, hash."""
+    grams, anchors, valid = window_anchors(buf, off, size)
+    if not len(grams):
+        return np.zeros(0, np.int64), grams
+    # a gram is one if the greatest anchor of the windows round it is its own hash
+    margin = np.zeros(size - min(GRAM, size), U64)
+    greatest = slide(np.concatenate([margin, np.where(valid, anchors, U64(0)), margin]), len(margin) + 1, np.maximum)
+    at = np.flatnonzero(greatest == grams)
+    return np.searchsorted(off, at, "right") - 1, grams[at]
 
 
 def anchor_runs(buf: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of consecutive windows of a text with one anchor: text, first window (place in the
     text), windows, anchor."""
-    start, anchor = window_anchors(buf, off, size)
+    _, anchor, valid = window_anchors(buf, off, size)
+    start = np.flatnonzero(valid)
     if not len(start):
-        return (np.zeros(0, np.int64),) * 3 + (anchor,)
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, U64),)
+    anchor = anchor[start]
     head = np.ones(len(start), bool)
     head[1:] = (anchor[1:] != anchor[:-1]) | (start[1:] != start[:-1] + 1)
     heads = np.flatnonzero(head)
@@ -90,11 +104,12 @@ def record(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], FIELDS)
 
 
-def runs_of_block(buf: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+def by_slices(fn, buf: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+    """``fn``'s arrays over slices of the texts, the first one being the text's number."""
     parts = []
     for i, j in cuts(off):
-        d, start, n, a = anchor_runs(buf[off[i] : off[j]], off[i : j + 1] - off[i], size)
-        parts.append((d + i, start, n, a))
+        doc, *rest = fn(buf[off[i] : off[j]], off[i : j + 1] - off[i], size)
+        parts.append((doc + i, *rest))
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
@@ -105,15 +120,14 @@ def anchor_entries(size: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, table in blocks(batches, BLOCK_BYTES):
             table, ids, hashes = in_order(table)
-            doc, _, n, h = runs_of_block(*text_bytes(table_column(table, "text")), size)
+            doc, h = by_slices(anchor_places, *text_bytes(table_column(table, "text")), size)
             sort = np.argsort(h)
             hs = h[sort]
             head = np.ones(len(h), bool)
             head[1:] = hs[1:] != hs[:-1]
             values = hs[head]
             heads = np.flatnonzero(head)
-            # one gram is in size - gram + 1 windows; a longer run holds its anchor twice
-            many = (np.diff(np.append(heads, len(h))) > 1) | (np.maximum.reduceat(n[sort], heads) > size - min(GRAM, size) + 1 if len(h) else False)
+            many = np.diff(np.append(heads, len(h))) > 1
             bucket = (values % U64(buckets)).astype(np.int64)
             dealt = np.argsort(bucket, kind="stable")
             at = np.searchsorted(bucket[dealt], np.arange(buckets + 1))
@@ -187,7 +201,7 @@ def regions(size: int, shards: int):
         for number, table in blocks(batches, BLOCK_BYTES):
             table, ids, hashes = in_order(table)
             buf, off = text_bytes(table_column(table, "text"))
-            doc, start, n, anchor = runs_of_block(buf, off, size)
+            doc, start, n, anchor = by_slices(anchor_runs, buf, off, size)
             known = np.unique(np.concatenate([np.frombuffer(x, U64) for x in table.column("anchors").to_pylist()] or [np.zeros(0, U64)]))
             at = np.minimum(np.searchsorted(known, anchor), max(0, len(known) - 1))
             keep = known[at] == anchor if len(known) else np.zeros(len(anchor), bool)
