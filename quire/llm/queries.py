@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quire.llm import op1_decontaminate as op1
 from quire.llm import op3_shards as op3
 from quire.llm import op4_substrings as op4
+from quire.llm import op8_minhash as op8
 from quire.llm import op9_suffix_arrays as op9
 from quire.llm import op10_url_filter as op10
 
@@ -114,6 +115,23 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "n_words", "n_removed", sha("kept").alias("kept_sha256"))
 
 
+@query(
+    "op8_minhash",
+    rf"""
+with recursive d as (select doc_id, regexp_extract_all({LOWER_SQL}, '[^\x20\x09-\x0D]+') w from documents),
+s as (select distinct doc_id, array_to_string(w[i:i + 3], ' ') x from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) i from d where len(w) > 0)),
+c as (select doc_id, count(*) n from s group by doc_id),
+p as (select a.doc_id a, b.doc_id b, count(*) k from s a join s b on a.x = b.x and a.doc_id < b.doc_id group by 1, 2),
+e as (select a, b from p join c x on x.doc_id = a join c y on y.doc_id = b where 100 * k >= 80 * (x.n + y.n - k)),
+g as (select a, b from e union all select b, a from e),
+r as (select doc_id id, doc_id root from d union select g.b, r.root from r join g on g.a = r.id)
+select d.doc_id, cast(coalesce(n, 0) as bigint) n_shingles, min(root) component_id, d.doc_id = min(root) kept
+from d left join c using (doc_id) join r on r.id = d.doc_id group by d.doc_id, n""",
+)
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 @query(
     "op9_suffix_array_dedup",
     """
