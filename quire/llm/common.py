@@ -49,6 +49,13 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf[off[0] : off[-1]], off - off[0]
 
 
+def sizes(column: pa.Array) -> np.ndarray:
+    """Where each value begins: bytes of texts, entries of lists."""
+    if pa.types.is_list(column.type) or pa.types.is_large_list(column.type):
+        return np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy())]).astype(np.int64)
+    return text_bytes(column)[1]
+
+
 def cuts(off: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of rows with up to ``limit`` bytes, or one row."""
     i, n = 0, len(off) - 1
@@ -62,7 +69,7 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
-def append(df: DataFrame, fn: Callable[[pa.RecordBatch], list[pa.Array]], fields: list[tuple[str, str]], text: str = "text") -> DataFrame:
+def append(df: DataFrame, fn: Callable[[pa.RecordBatch], list[pa.Array]], fields: list[tuple[str, str]], text: str = "text", limit: int = SLICE_BYTES) -> DataFrame:
     """``df`` with further columns that ``fn`` makes of each slice of rows. Columns of ``df``
     with the same names are replaced."""
     new = [T.StructField(n, T._parse_datatype_string(t)) for n, t in fields]
@@ -72,8 +79,8 @@ def append(df: DataFrame, fn: Callable[[pa.RecordBatch], list[pa.Array]], fields
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, off = text_bytes(column(batch, text))
-            for i, j in cuts(off):
+            off = sizes(column(batch, text))
+            for i, j in cuts(off, limit):
                 part = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([*part.columns, *fn(part)], names)
 

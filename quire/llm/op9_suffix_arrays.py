@@ -467,9 +467,9 @@ def repeated_spans(docs: DataFrame, size: int = WINDOW, key: str = "doc_id", tex
     return spans.groupBy("_id", "_hash").agg(F.first("spans").alias("spans"))  # equal rows of several blocks
 
 
-def remove_repeats(docs: DataFrame, size: int = WINDOW, key: str = "doc_id", text: str = "text", piece_bytes: int = PIECE_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, size: int = WINDOW, key: str = "doc_id", text: str = "text", piece_bytes: int = PIECE_BYTES, as_text: bool = False) -> DataFrame:
     """``docs`` with n_bytes, n_removed, removed (maximal spans of bytes) and kept (the bytes
-    left, as binary: a cut may fall inside a character)."""
+    left, as binary: a cut may fall inside a character; as text without such broken ones)."""
     docs = docs.drop("n_bytes", "n_removed", "removed", "kept", "_id", "_hash")
     joined = with_spans(docs, repeated_spans(docs, size, key, text, piece_bytes), key, text)
 
@@ -484,8 +484,9 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, key: str = "doc_id", tex
                 at = base + s["end"]
                 gone += s["end"] - s["start"]
             pieces.append(raw[at:end])
-            kept.append(b"".join(pieces))
+            whole = b"".join(pieces)
+            kept.append(whole.decode(errors="ignore") if as_text else whole)
             lost.append(gone)
-        return [pa.array(np.diff(off), pa.int64()), pa.array(lost, pa.int64()), pa.array(kept, pa.binary())]
+        return [pa.array(np.diff(off), pa.int64()), pa.array(lost, pa.int64()), pa.array(kept, pa.string() if as_text else pa.binary())]
 
-    return append(joined, fn, [("n_bytes", "bigint"), ("n_removed", "bigint"), ("kept", "binary")], text)
+    return append(joined, fn, [("n_bytes", "bigint"), ("n_removed", "bigint"), ("kept", "string" if as_text else "binary")], text)

@@ -6,12 +6,17 @@ import os
 from collections.abc import Callable
 from pathlib import Path
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import op1_decontaminate as op1
+from quire.llm import op2_token_files as op2
 from quire.llm import op3_shards as op3
 from quire.llm import op4_substrings as op4
+from quire.llm import op5_bpe as op5
+from quire.llm import op6_quality as op6
+from quire.llm import op7_fingerprints as op7
 from quire.llm import op8_minhash as op8
 from quire.llm import op9_suffix_arrays as op9
 from quire.llm import op10_url_filter as op10
@@ -76,6 +81,13 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("hit_items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
+@query("op2_token_files")
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = op2.files_path(spark)
+    op2.write_ids(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), path)
+    return op2.read_documents(spark, path, with_ids=False)
+
+
 @query(
     "op3_histogram_shards",
     """
@@ -115,6 +127,27 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "n_words", "n_removed", sha("kept").alias("kept_sha256"))
 
 
+@query("op5_bpe")
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    docs = op5.encode(table(spark, sf_dir, "documents", "doc_id", "text"), path, public_tokenizers.PATTERN)
+    docs = op5.decode(docs.select("doc_id", "n_tokens", "ids"), path)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return docs.select("doc_id", "n_tokens", F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op6_quality")
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "source", "lang")
+    docs = op6.classify(docs, table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"), keep_text=False)
+    return docs.select("doc_id", "source", "lang", "evidence", "host_rate", "path_rate", "score", "rejected")
+
+
+@query("op7_edit_fingerprints")
+def op7_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7.compare_with_next(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 @query(
     "op8_minhash",
     rf"""
