@@ -30,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import BYTE, SPANS, U64, append, blocks, column, covered, cuts, longs, mix, partitions, rolled, runs, spans_array, table_column, text_bytes, unz, z
-from quire.llm.op4_substrings import FIELDS, ROW, keyed, with_spans
+from quire.llm.common import BYTE, NO_ID, SPANS, U64, append, blocks, column, covered, cuts, longs, mix, partitions, rolled, runs, spans_array, table_column, text_bytes, unz, z
+from quire.llm.op4_substrings import FIELDS, ROW
 
 WINDOW = 100
 GRAM = 50
@@ -193,14 +193,14 @@ def anchors_of_texts(table: pa.Table) -> pa.Table:
 # ---------------------------------------------------------------- regions and their shards
 
 
-def regions(size: int, shards: int):
+def regions(size: int, shards: int, text: str):
     """Rows of ROW: block rows with the texts and their known repeats; for each shard the
     block's distinct regions: bytes, lengths, ids, hashes of texts, places, window numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, table in blocks(batches, BLOCK_BYTES):
+        for number, table in blocks(batches, BLOCK_BYTES, text):
             table, ids, hashes = in_order(table)
-            buf, off = text_bytes(table_column(table, "text"))
+            buf, off = text_bytes(table_column(table, text))
             doc, start, n, anchor = by_slices(anchor_runs, buf, off, size)
             known = np.unique(np.concatenate([np.frombuffer(x, U64) for x in table.column("anchors").to_pylist()] or [np.zeros(0, U64)]))
             at = np.minimum(np.searchsorted(known, anchor), max(0, len(known) - 1))
@@ -225,7 +225,7 @@ def regions(size: int, shards: int):
             for b in range(shards):
                 mine = sent[cut[b] : cut[b + 1]]
                 if len(mine):
-                    rows.append((b, number, False, b"".join([texts[k] for k in mine.tolist()]), z(n[mine] + size - 1), z(np.diff(ids[doc[mine]], prepend=0)), hashes[doc[mine]].tobytes(), z(start[mine]), z(np.diff(base[mine], prepend=0))))
+                    rows.append((b, number, False, z(np.frombuffer(b"".join([texts[k] for k in mine.tolist()]), np.uint8)), z(n[mine] + size - 1), z(np.diff(ids[doc[mine]], prepend=0)), hashes[doc[mine]].tobytes(), z(start[mine]), z(np.diff(base[mine], prepend=0))))
             for i in range(0, len(rows), 32):
                 yield record(rows[i : i + 32])
 
@@ -356,24 +356,15 @@ class Known:
         self.eight = np.concatenate([self.eight, eight])
 
 
-def work_piece(known: Known, rows: list[dict], size: int, more: bool) -> list[tuple[int, np.ndarray]]:
-    """Repeats (block, window numbers) that a piece's rows bring to light."""
-    lengths = [unz(r["b"], np.int64) for r in rows]
-    length = np.concatenate(lengths)
-    buf = np.frombuffer(b"".join(r["a"] for r in rows), np.uint8)
+def work_piece(known: Known, held: dict[bytes, tuple], size: int, more: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Repeats (block and number of windows) that a piece's regions bring to light."""
+    length = np.array([len(x) for x in held], np.int64)
+    buf = np.frombuffer(b"".join(held), np.uint8)
     count = length - size + 1
     first = np.cumsum(length) - length
     step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     valid = np.repeat(first, count) + step
-    region_block = np.repeat([r["block"] for r in rows], [len(x) for x in lengths])
-    per_region = [
-        np.concatenate([np.cumsum(unz(r["c"], np.int64)) for r in rows]),
-        np.concatenate([np.frombuffer(r["d"], np.int64) for r in rows]),
-        np.concatenate([unz(r["e"], np.int64) for r in rows]),
-        region_block,
-        np.concatenate([np.cumsum(unz(r["f"], np.int64)) for r in rows]),
-    ]
-    occurrence = np.stack([np.repeat(x, count) for x in per_region])
+    occurrence = np.repeat(np.array(list(held.values()), np.int64).T, count, axis=1)
     occurrence[2] += step
     occurrence[4] += step
     eight = words_at(buf)
@@ -403,30 +394,54 @@ def work_piece(known: Known, rows: list[dict], size: int, more: bool) -> list[tu
         known.occurrence[:, old[x > y]] = occurrence[:, new[x > y]]
         if more:
             known.add(eight, valid[chosen[~there]], occurrence[:, chosen[~there]], where[~there])
-    block, numbers_ = np.concatenate(blocks_), np.concatenate(numbers)
-    out = []
-    for k in np.unique(block):
-        out.append((int(k), np.sort(numbers_[block == k])))
-    return out
+    return np.concatenate(blocks_), np.concatenate(numbers)
 
 
 def shard_repeats(size: int, piece_bytes: int):
+    """Streams through a shard's rows. Equal regions are one; of them only the earliest
+    occurrence is held, the others are repeats as a whole."""
+
+    def answer(block: np.ndarray, number: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.lexsort((number, block))
+        block, number = block[order], number[order]
+        edges = np.flatnonzero(np.diff(block)) + 1
+        for s, e in zip([0, *edges.tolist()], [*edges.tolist(), len(block)]):
+            if e > s:
+                yield record([(0, int(block[s]), False, z(np.diff(number[s:e], prepend=0)), None, None, None, None, None)])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, held, bytes_ = Known(), [], 0
+        known, held, bytes_ = Known(), {}, 0
+        copies: list[tuple[int, int, int]] = []
+
+        def flush(more: bool) -> Iterator[pa.RecordBatch]:
+            block, number = work_piece(known, held, size, more) if held else (np.zeros(0, np.int64),) * 2
+            b, first, n = np.array(copies, np.int64).reshape(-1, 3).T
+            whole = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            yield from answer(np.concatenate([block, np.repeat(b, n)]), np.concatenate([number, whole]))
+
         for batch in batches:
             for row in batch.to_pylist():
                 if row["whole"]:
                     yield record([tuple(row[c] for c in FIELDS)])
                     continue
-                if held and bytes_ + len(row["a"]) > piece_bytes:
-                    for block, numbers in work_piece(known, held, size, True):
-                        yield record([(0, block, False, z(np.diff(numbers, prepend=0)), None, None, None, None, None)])
-                    held, bytes_ = [], 0
-                held.append(row)
-                bytes_ += len(row["a"])
-        if held:
-            for block, numbers in work_piece(known, held, size, False):
-                yield record([(0, block, False, z(np.diff(numbers, prepend=0)), None, None, None, None, None)])
+                ends = np.cumsum(unz(row["b"], np.int64)).tolist()
+                ids, places, numbers = (x.tolist() for x in (np.cumsum(unz(row["c"], np.int64)), unz(row["e"], np.int64), np.cumsum(unz(row["f"], np.int64))))
+                hashes, raw, at = np.frombuffer(row["d"], np.int64).tolist(), unz(row["a"], np.uint8).tobytes(), 0
+                for end, i, h, p, k in zip(ends, ids, hashes, places, numbers):
+                    region, mine, at = raw[at:end], (i, h, p, row["block"], k), end
+                    other = held.get(region)
+                    if other is None:
+                        held[region] = mine
+                        bytes_ += len(region)
+                    elif other[:3] != mine[:3]:
+                        if mine[:3] < other[:3]:
+                            held[region], mine = mine, other
+                        copies.append((mine[3], mine[4], len(region) - size + 1))
+                if bytes_ > piece_bytes:
+                    yield from flush(True)
+                    held, bytes_ = {}, 0
+                    copies.clear()
+        yield from flush(False)
 
     return run
 
@@ -451,17 +466,18 @@ def spans_of_block(size: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, size: int = WINDOW, key: str = "doc_id", text: str = "text", piece_bytes: int = PIECE_BYTES) -> DataFrame:
-    """_id, _hash, spans: the maximal spans of bytes to remove, where there are any."""
+def repeated_spans(docs: DataFrame, size: int = WINDOW, text: str = "text", piece_bytes: int = PIECE_BYTES) -> DataFrame:
+    """_id, _hash, spans: the maximal spans of bytes to remove, where there are any. ``docs``
+    has _id and _hash; it is joined with all its columns, as later with the spans, so that one
+    exchange of the texts serves both joins."""
     spark = docs.sparkSession
     total = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
     n = partitions(spark)
     buckets, shards = max(n, -(-total // BUCKET_BYTES)), max(n, -(-total // SHARD_BYTES))
-    texts = keyed(docs, key, text)
-    counted = texts.mapInArrow(anchor_entries(size, buckets), ROW).groupBy("bucket").applyInArrow(count_anchors, ROW)
+    counted = docs.select("_id", "_hash", F.col(text).alias("text")).mapInArrow(anchor_entries(size, buckets), ROW).groupBy("bucket").applyInArrow(count_anchors, ROW)
     anchors = counted.groupBy("block").applyInArrow(anchors_of_texts, "_id bigint, _hash bigint, anchors binary")
     anchors = anchors.groupBy("_id", "_hash").agg(F.first("anchors").alias("anchors"))
-    cut = texts.join(anchors, ["_id", "_hash"]).mapInArrow(regions(size, shards), ROW)
+    cut = docs.join(anchors, ["_id", "_hash"]).mapInArrow(regions(size, shards, text), ROW)
     repeats = cut.groupBy("bucket").applyInArrow(shard_repeats(size, piece_bytes), ROW)
     spans = repeats.groupBy("block").applyInArrow(spans_of_block(size), f"_id bigint, _hash bigint, spans {SPANS}")
     return spans.groupBy("_id", "_hash").agg(F.first("spans").alias("spans"))  # equal rows of several blocks
@@ -470,8 +486,10 @@ def repeated_spans(docs: DataFrame, size: int = WINDOW, key: str = "doc_id", tex
 def remove_repeats(docs: DataFrame, size: int = WINDOW, key: str = "doc_id", text: str = "text", piece_bytes: int = PIECE_BYTES, as_text: bool = False) -> DataFrame:
     """``docs`` with n_bytes, n_removed, removed (maximal spans of bytes) and kept (the bytes
     left, as binary: a cut may fall inside a character; as text without such broken ones)."""
-    docs = docs.drop("n_bytes", "n_removed", "removed", "kept", "_id", "_hash")
-    joined = with_spans(docs, repeated_spans(docs, size, key, text, piece_bytes), key, text)
+    docs = docs.drop("n_bytes", "n_removed", "removed", "kept", "anchors", "_id", "_hash")
+    docs = docs.withColumns({"_id": F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)), "_hash": F.coalesce(F.xxhash64(text), F.lit(0))})
+    spans = repeated_spans(docs, size, text, piece_bytes).withColumnRenamed("spans", "removed")
+    joined = docs.join(spans, ["_id", "_hash"], "left")
 
     def fn(part: pa.RecordBatch) -> list[pa.Array]:
         buf, off = text_bytes(column(part, text))
@@ -489,4 +507,4 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, key: str = "doc_id", tex
             lost.append(gone)
         return [pa.array(np.diff(off), pa.int64()), pa.array(lost, pa.int64()), pa.array(kept, pa.string() if as_text else pa.binary())]
 
-    return append(joined, fn, [("n_bytes", "bigint"), ("n_removed", "bigint"), ("kept", "string" if as_text else "binary")], text)
+    return append(joined, fn, [("n_bytes", "bigint"), ("n_removed", "bigint"), ("kept", "string" if as_text else "binary")], text).drop("_id", "_hash")
