@@ -13,9 +13,10 @@ under each (coordinate, value) of their signature:
    not with each other: collisions are counted on the signatures, pairs over the threshold are
    confirmed on the full sets, links make components.
 3. Lists whose members are still in several components are compared in blocks of BLOCK_ROWS,
-   members of one component excepted; only pairs over the threshold leave the task, and they
-   are confirmed as well. After that no pair that met in a list and could join two components
-   is open, so the components are those of all links.
+   members of one component excepted: collisions are counted and pairs over the threshold
+   confirmed inside the task, and only links that join two components leave it. After that no
+   pair that met in a list and could join two components is open, so the components are those
+   of all links.
 
 At similarity 0.8 fewer than 24 of 48 coordinates agree with probability below 1e-5.
 
@@ -33,14 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import SPACES, U64, append, column, materialize, mix, rolled, text_bytes, windows, word_hashes, words
+from quire.llm.common import SPACES, U64, append, column, materialize, mix, rolled, table_column, text_bytes, windows, word_hashes, words
 
 SHINGLE = 4
 PERCENT = 80
 COORDINATES = 48
 MATCHES = 24
 PIVOTS = 3
-BLOCK_ROWS = 512
+BLOCK_ROWS = 1024
 _RANDOM = np.random.Generator(np.random.PCG64(97)).integers(1, 1 << 63, (2, COORDINATES), dtype=np.uint64) * U64(2) + U64(1)
 
 
@@ -171,40 +172,73 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("id"), "component")
 
 
-def open_pairs(lists: DataFrame, reps: DataFrame, found: DataFrame, matches: int) -> DataFrame:
-    """Pairs over the threshold in lists of several components, members of one component excepted."""
+def block_links(ids: np.ndarray, component: np.ndarray, signature: np.ndarray, h: np.ndarray, first: np.ndarray, matches: int, percent: int) -> list[tuple[int, int]]:
+    """Links of a block that join components: signatures over the threshold are confirmed on
+    the full sets h[first[k]:first[k+1]], one member against all later ones at once."""
+    root: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while root.get(c, c) != c:
+            c = root[c]
+        return c
+
+    out = []
+    size = np.diff(first)
+    values, place = np.unique(h, return_inverse=True)
+    mark = np.zeros(len(values), np.int64)
+    label = component.copy()
+    for r in range(len(ids) - 1):
+        agree = (signature[r + 1 :] == signature[r]).sum(axis=1)
+        hit = np.flatnonzero((agree >= matches) & (label[r + 1 :] != label[r])) + r + 1
+        hit = hit[100 * np.minimum(size[hit], size[r]) >= percent * np.maximum(size[hit], size[r])]
+        if not len(hit):
+            continue
+        mark[place[first[r] : first[r + 1]]] = 1
+        n = size[hit]
+        at = np.arange(n.sum()) + np.repeat(first[hit] - (np.cumsum(n) - n), n)
+        inside = np.add.reduceat(mark[place[at]], np.cumsum(n) - n)
+        mark[place[first[r] : first[r + 1]]] = 0
+        for k in hit[100 * inside >= percent * (n + size[r] - inside)].tolist():
+            a, b = find(int(component[r])), find(int(component[k]))
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                out.append((int(min(ids[r], ids[k])), int(max(ids[r], ids[k]))))
+                label[(label == a) | (label == b)] = min(a, b)
+    return out
+
+
+def open_links(lists: DataFrame, reps: DataFrame, found: DataFrame, docs: DataFrame, size: int, matches: int, percent: int) -> DataFrame:
+    """a, b: confirmed links between components that still meet in a list; at most one link
+    for each member of a block leaves a task. ``docs``: _id, text."""
     named = lists.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     several = named.groupBy("token").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select("token")
     rows = named.join(several, "token").join(reps.select("id", "signature"), "id")
+    rows = materialize(lists.sparkSession, rows.select("token", "n", "id", "component", "signature"), "minhash-open")
+    texts = docs.join(rows.select(F.col("id").alias("_id")).distinct(), "_id")
     blocks = F.ceil(F.col("n") / BLOCK_ROWS).cast("long")
-    rows = rows.withColumn("i", F.pmod(F.xxhash64("id"), blocks)).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    rows = rows.select("token", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "id", "component", "signature")
+    rows = rows.join(texts, F.col("id") == F.col("_id")).withColumn("i", F.pmod(F.xxhash64("id"), blocks)).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    rows = rows.select("token", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "id", "component", "signature", "text")
     rows = rows.repartition("token", "p", "q").sortWithinPartitions("token", "p", "q", "id")
 
-    def pairs_of(ids: np.ndarray, component: np.ndarray, signature: np.ndarray) -> list[np.ndarray]:
-        out = []
-        for r in range(len(ids) - 1):
-            agree = (signature[r + 1 :] == signature[r]).sum(axis=1)
-            hit = np.flatnonzero((agree >= matches) & (component[r + 1 :] != component[r])) + r + 1
-            if len(hit):
-                out.append(np.stack([np.minimum(ids[r], ids[hit]), np.maximum(ids[r], ids[hit])]))
-        return out
+    def links(table: pa.Table) -> list[tuple[int, int]]:
+        h, first = shingle_sets(*text_bytes(table_column(table, "text")), size)
+        signature = table_column(table, "signature").flatten().to_numpy().reshape(-1, COORDINATES)
+        return block_links(table.column("id").to_numpy(), table.column("component").to_numpy(), signature, h, first, matches, percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for batch in batches:
-            parts = [column(batch, c).to_numpy() for c in ("token", "p", "q", "id", "component")]
-            parts.append(column(batch, "signature").flatten().to_numpy().reshape(len(batch), COORDINATES))
-            if rest is not None:
-                parts = [np.concatenate([x, y]) for x, y in zip(rest, parts)]
-            edge = np.flatnonzero((np.diff(parts[0]) != 0) | (np.diff(parts[1]) != 0) | (np.diff(parts[2]) != 0)) + 1
+            table = pa.Table.from_batches([batch])
+            table = (table if rest is None else pa.concat_tables([rest, table])).combine_chunks()
+            keys = [table.column(c).to_numpy() for c in ("token", "p", "q")]
+            edge = np.flatnonzero((np.diff(keys[0]) != 0) | (np.diff(keys[1]) != 0) | (np.diff(keys[2]) != 0)) + 1
             cut = [0, *edge.tolist()]
-            found = [x for s, e in zip(cut[:-1], cut[1:]) for x in pairs_of(parts[3][s:e], parts[4][s:e], parts[5][s:e])]
-            rest = [x[cut[-1] :] for x in parts]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.unique(np.concatenate(found, axis=1), axis=1)], ["a", "b"])
-        if rest is not None and (found := pairs_of(*rest[3:])):
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(found, axis=1)], ["a", "b"])
+            out = [x for s, e in zip(cut[:-1], cut[1:]) if e - s > 1 for x in links(table.slice(s, e - s))]
+            rest = table.slice(cut[-1])
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], ["a", "b"])
+        if rest is not None and (out := links(rest)):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out)], ["a", "b"])
 
     return rows.mapInArrow(run, "a bigint, b bigint").where("a <> b").distinct()
 
@@ -219,13 +253,11 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     reps = materialize(spark, named.groupBy("a", "b", "n_shingles").agg(F.min("_id").alias("id"), F.min("signature").alias("signature")), "minhash-sets")
     lists = postings(reps, matches)
     nodes = texts.where("_id is not null")
-    tried = materialize(spark, over_threshold(pivot_pairs(lists), reps, matches), "minhash-tried")
-    links = materialize(spark, confirm(tried, nodes, size, percent), "minhash-links")
+    links = materialize(spark, confirm(over_threshold(pivot_pairs(lists), reps, matches), nodes, size, percent), "minhash-links")
     found = components(links)
-    left = materialize(spark, open_pairs(lists, reps, found, matches).join(tried, ["a", "b"], "left_anti"), "minhash-open")
-    if not left.isEmpty():
-        links = links.union(confirm(left, nodes, size, percent))
-        found = components(links)
+    more = materialize(spark, open_links(lists, reps, found, nodes, size, matches, percent), "minhash-links")
+    if not more.isEmpty():
+        found = components(links.union(more))
     ties = reps.select("id", "a", "b", "n_shingles")
     sets = named.select("_id", "a", "b", "n_shingles").join(ties, ["a", "b", "n_shingles"])
     whole = sets.join(found, "id", "left").select("_id", F.coalesce("component", "id").alias("component")).groupBy("_id").agg(F.min("component").alias("component_id"))
