@@ -31,13 +31,13 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import column, cuts, text_bytes, work_dir
+from quire.llm.common import SPACES, column, cuts, text_bytes, work_dir
 from quire.llm.op5_bpe import text_ids
 
 BLOCK_IDS = 1 << 16
 CHUNK_IDS = 1 << 20
 SLICE_BYTES = 8 << 20
-CACHE_UNITS = 800_000
+CACHE_UNITS = 1_500_000
 CHUNKS = "part int, chunk int, n_ids bigint, doc_ids array<bigint>, lengths array<bigint>, data binary"
 #: Stands between units; units that hold it are encoded one by one.
 MARK = b"\x01"
@@ -100,6 +100,31 @@ def unpack(data: bytes, first: int = 0, last: int | None = None) -> np.ndarray:
 
 # ---------------------------------------------------------------- encoding
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_KIND = np.zeros(256, np.uint8)
+_KIND[97:123] = 1  # ASCII letters
+_KIND[[ord(c) for c in "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"]] = 2  # signs; not the apostrophe, which letters may follow
+
+
+def word_units(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Number of each unit, the distinct units, and each text's first unit, for a tokenizer that
+    lowers case, drops white space and parts letters from signs: words without white space, in
+    lower case as far as ASCII, cut between ASCII letters and signs."""
+    b, n = _LOWER[buf], len(buf)
+    inside = ~SPACES[b]
+    kind = _KIND[b]
+    start = np.ones(n, bool)
+    start[1:] = ~inside[:-1] | (kind[1:] + kind[:-1] == 3)  # a letter beside a sign, or white space before
+    start[off[off < n]] = True
+    start &= inside
+    place = np.concatenate([[0], np.cumsum(inside)])
+    starts = place[:-1][start]
+    kept = np.ascontiguousarray(b[inside])
+    offsets = np.append(starts, len(kept)).astype(np.int64)
+    found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(kept)]).dictionary_encode()
+    return found.indices.to_numpy(), found.dictionary, np.searchsorted(starts, place[off])
+
 
 class Units:
     """Encodes distinct units with the tokenizers library and remembers them while the worker
@@ -183,7 +208,7 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1, bits:
             buf, off = text_bytes(column(batch, "text"))
             doc_ids = column(batch, "_id").to_pylist()
             for i, j in cuts(off, SLICE_BYTES):
-                tokens, first = text_ids(buf[off[i] : off[j]], off[i : j + 1] - off[i], units_of(tokenizer).encode)
+                tokens, first = text_ids(buf[off[i] : off[j]], off[i : j + 1] - off[i], units_of(tokenizer).encode, word_units)
                 size = np.diff(first) + 1
                 ended = np.full(size.sum(), end_id, np.int32)
                 ended[np.arange(len(tokens)) + np.repeat(np.arange(j - i), size - 1)] = tokens

@@ -276,9 +276,10 @@ class Dictionary:
         return flat, start
 
 
-def text_ids(buf: np.ndarray, off: np.ndarray, encode) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens of all texts and where each text's begin; ``encode`` takes the distinct units."""
-    codes, units, first = coded(buf, off)
+def text_ids(buf: np.ndarray, off: np.ndarray, encode, cut=coded) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of all texts and where each text's begin; ``encode`` takes the distinct units
+    that ``cut`` finds."""
+    codes, units, first = cut(buf, off)
     ids, start = encode(units.to_pylist())
     values, size = gather(ids, start, codes)
     return values, np.concatenate([[0], np.cumsum(size)])[first]
