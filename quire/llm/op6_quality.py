@@ -32,10 +32,11 @@ from quire.llm.common import NOT_ALNUM, SPACES, U64, append, column, lists, mate
 
 TRAIN_ROWS = 20_000
 FEATURE_BITS = 18
-LEAST_TEXTS = 8
+LEAST_TEXTS = 3
+DEVIATIONS = 4.0
 THRESHOLD = 0.5
 SHAPES = 9
-ROUNDS = 200
+ROUNDS = 300
 _CLASS = np.zeros(256, np.uint8)  # 1 upper case, 2 digit, 3 white space, 4 other ASCII sign
 _CLASS[65:91], _CLASS[48:58] = 1, 2
 _CLASS[[0x20, *range(0x09, 0x0E)]] = 3
@@ -66,23 +67,27 @@ def features(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(index: np.ndarray, first: np.ndarray, bad: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Logistic regression by Adam over all rows: features of LEAST_TEXTS texts and more,
-    their weights, the intercept."""
+    """Logistic regression by Adam over all rows: features of LEAST_TEXTS texts and more
+    that deviate from the bad rate beyond chance, their weights, the intercept."""
     n = len(bad)
-    often = np.bincount(index, minlength=1 << (FEATURE_BITS + 1)) >= LEAST_TEXTS
+    count = np.bincount(index, minlength=1 << (FEATURE_BITS + 1))
+    hits = np.bincount(index, weights=np.repeat(bad, np.diff(first)), minlength=len(count))
+    rate = bad.mean()
+    # what chance explains only adds noise: keep features whose bad share is that far off
+    often = (count >= LEAST_TEXTS) & (np.abs(hits - count * rate) > DEVIATIONS * np.sqrt(np.maximum(count, 1) * rate * (1 - rate)))
     used = np.flatnonzero(often)
     number = np.full(len(often), -1, np.int64)
     number[used] = np.arange(len(used))
     column_, row = number[index], np.repeat(np.arange(n), np.diff(first))
     column_, row = column_[column_ >= 0], row[column_ >= 0]
     w, m, v = np.zeros(len(used)), np.zeros(len(used)), np.zeros(len(used))
-    rate = np.clip(bad.mean(), 1e-3, 1 - 1e-3)
+    rate = np.clip(rate, 1e-3, 1 - 1e-3)
     b = np.log(rate / (1 - rate))
     mb = vb = 0.0
     for t in range(1, ROUNDS + 1):
         p = 1 / (1 + np.exp(-np.clip(np.bincount(row, w[column_], n) + b, -30, 30)))
         e = p - bad
-        g = np.bincount(column_, e[row], len(used)) + 2.0 * w
+        g = np.bincount(column_, e[row], len(used)) + 0.1 * w
         gb = e.sum()
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
