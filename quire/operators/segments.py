@@ -12,7 +12,6 @@ from quire.sources.tables import materialize
 
 # Fixed values.
 PAGES_PER_SEGMENT = 30
-HEADING_SCAN_PAGES = 100
 MIN_ANCHORS, MAX_ANCHORS, MIN_FILE_WORDS = 2, 10, 1000
 FALLBACK_WARNING = "No bookmarks or chapter headings detected. Using page-based splitting."
 CHAPTER_LINE = r"(?i)^(?:chapter\s+(?:\d+|[ivxlcdm]+)|part\s+(?:\d+|[ivxlcdm]+)|section\s+\d+|\d+\.\s+[A-Z])"
@@ -262,13 +261,15 @@ def fixed_segments(pages: DataFrame) -> DataFrame:
     return rows.select("book_id", "segment", title.alias("title"), "text")
 
 
-def strategies(page_counts: DataFrame, marks: DataFrame, breaks: DataFrame) -> DataFrame:
-    """Bookmarks, else headings in books of up to 100 pages, else fixed size with a warning."""
+def strategies(page_counts: DataFrame, marks: DataFrame, breaks: DataFrame, heading_pages: int | None = None) -> DataFrame:
+    """Bookmarks, else headings, else fixed size with a warning. ``heading_pages`` leaves the
+    headings of longer books out; books of any length have them by default."""
+    short = F.lit(True) if heading_pages is None else F.col("pages") <= heading_pages
     m = marks.groupBy("book_id").agg(F.count("*").alias("marks"))
     b = breaks.groupBy("book_id").agg(F.count("*").alias("breaks"))
     by = (
         F.when(F.col("marks") > 0, "bookmarks")
-        .when((F.col("pages") <= HEADING_SCAN_PAGES) & (F.col("breaks") > 0), "headings")
+        .when(short & (F.col("breaks") > 0), "headings")
         .otherwise("fixed")
     )
     return (

@@ -436,7 +436,7 @@ def fixed_segments(spark, root):
     S.cte("bookmarks", "book_pages")
     + f""", {_COUNTS}, {_MARKS}, {_BREAKS}, a as (select book_id, pages, (select count(*) from bookmarks b where b.book_id = pc.book_id) as marks,
       (select count(*) from bk where bk.book_id = pc.book_id) as breaks from pc),
-    s as (select *, case when marks > 0 then 'bookmarks' when pages <= 100 and breaks > 0 then 'headings' else 'fixed' end as strategy from a)
+    s as (select *, case when marks > 0 then 'bookmarks' when breaks > 0 then 'headings' else 'fixed' end as strategy from a)
     select *, case when strategy = 'fixed' then '{ops.FALLBACK_WARNING}' end as warning from s""",
 )
 def segment_strategy(spark, root):
