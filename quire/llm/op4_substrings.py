@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from quire.llm.common import NO_ID, SPACES, SPANS, append, blocks, column, cuts, longs, partitions, runs, table_column, text_bytes, unz, windows, word_hashes, words, z, covered, spans_array, mix, U64
 
 WINDOW = 13
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 6 << 20
 BUCKET_BYTES = 24 << 20
 ROW = "bucket int, block bigint, whole boolean, a binary, b binary, c binary, d binary, e binary, f binary"
 FIELDS = ["bucket", "block", "whole", "a", "b", "c", "d", "e", "f"]
