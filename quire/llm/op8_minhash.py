@@ -42,6 +42,8 @@ COORDINATES = 48
 MATCHES = 24
 PIVOTS = 3
 BLOCK_ROWS = 1024
+#: Bits of the map of wanted ids: 16 MB.
+FILTER_BITS = 1 << 27
 _RANDOM = np.random.Generator(np.random.PCG64(97)).integers(1, 1 << 63, (2, COORDINATES), dtype=np.uint64) * U64(2) + U64(1)
 
 
@@ -115,11 +117,23 @@ def over_threshold(pairs: DataFrame, reps: DataFrame, matches: int) -> DataFrame
     return both.where(agree >= matches).select("a", "b")
 
 
+def likely(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose _id may be in ``ids`` (column _id): none that is in it is lost, a
+    join decides the rest. Bits are set by hash in a map of FILTER_BITS, broadcast in rows of
+    4 KB, so texts of documents without candidates never enter an exchange and the broadcast is
+    bounded at any number of ids."""
+    place = F.pmod(F.xxhash64("_id"), F.lit(FILTER_BITS)) + 1
+    bits = ids.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("_bits"))
+    at = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring("_bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    near = docs.withColumn("_bucket", F.bitmap_bucket_number(place)).join(F.broadcast(bits), "_bucket")
+    return near.where(F.getbit(byte, (at % 8).cast("int")) == 1).select(*docs.columns)
+
+
 def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Pairs whose full sets have 100 * intersection >= percent * union. ``docs``: _id, text."""
     pairs = materialize(pairs.sparkSession, pairs, "minhash-pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
-    texts = docs.join(wanted, "_id")
+    texts = likely(docs, pairs.select(F.explode(F.array("a", "b")).alias("_id")))
     both = pairs.join(texts.select(F.col("_id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("_id").alias("b"), F.col("text").alias("y")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,7 +228,7 @@ def open_links(lists: DataFrame, reps: DataFrame, found: DataFrame, docs: DataFr
     several = named.groupBy("token").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select("token")
     rows = named.join(several, "token").join(reps.select("id", "signature"), "id")
     rows = materialize(lists.sparkSession, rows.select("token", "n", "id", "component", "signature"), "minhash-open")
-    texts = docs.join(rows.select(F.col("id").alias("_id")).distinct(), "_id")
+    texts = likely(docs, rows.select(F.col("id").alias("_id")))
     blocks = F.ceil(F.col("n") / BLOCK_ROWS).cast("long")
     rows = rows.join(texts, F.col("id") == F.col("_id")).withColumn("i", F.pmod(F.xxhash64("id"), blocks)).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     rows = rows.select("token", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "id", "component", "signature", "text")

@@ -228,6 +228,18 @@ def test_near_pairs(spark, docs):
     assert (90, 1000) in {(r.a, r.b) for r in op7.near_pairs(f).collect()}
 
 
+def test_id_map_loses_no_wanted_id(spark):
+    """Ids of both signs, repeated and null ones, and an empty list of wanted ids."""
+    docs = spark.range(20000).select((F.col("id") * 7919 - 50_000_000).alias("_id"), F.lit("x").alias("text"))
+    docs = docs.unionByName(docs.limit(5)).unionByName(spark.createDataFrame([(None, "y")], "_id bigint, text string"))
+    wanted = docs.where("_id % 5 = 0").select("_id")
+    found = op8.likely(docs, wanted)
+    assert found.columns == docs.columns
+    assert wanted.exceptAll(found.select("_id")).isEmpty()
+    assert found.count() < 1.05 * wanted.count()
+    assert op8.likely(docs, wanted.limit(0)).isEmpty()
+
+
 @pytest.mark.parametrize("rows", [ROWS, [(i, " ".join(f"w{(j * j + (j == i % 200) * (i + 1)) % 997}" for j in range(200))) for i in range(1300)]])
 def test_minhash(spark, rows):
     """Mixed texts; and one large group of near copies."""
