@@ -22,8 +22,8 @@ NOT_CONTENT = [
 GENERIC_TITLES = ["untitled", "chapter", "section"]
 SPLIT_NAME = r"(?i)(.+)_split_(\d+)\.x?html?$"
 MARK = "\u0001"
-# a line number inside a page, so that (page, line) is one ordered key
-LINES_PER_PAGE = 1 << 20
+# (page, line) as one ordered key: a text has less than 2^31 bytes, so no page reaches this many lines
+LINES_PER_PAGE = 1 << 32
 
 
 def heading_texts(html: Column, level: int) -> Column:

@@ -181,13 +181,13 @@ VIEWS: dict[str, tuple[list[str], str]] = {
     ),
     "versions": (
         [],
-        """select conv_id * 100 + turn as summary_id, conv_id as item_id, role as prompt_name,
+        """select conv_id * 1000000000 + turn as summary_id, conv_id as item_id, role as prompt_name,
         cast(row_number() over (partition by conv_id, role order by turn) as int) as version, turn,
         length(text) as tokens,
         case turn % 3 when 0 then '{"text":"v' || conv_id || '-' || turn || '"}'
                       when 1 then '{"content":"v' || conv_id || '-' || turn || '"}'
                       else '{"text":{"text":"v' || conv_id || '-' || turn || '"}}' end as payload,
-        1704067200 + (conv_id * 100 + turn) * 7919 % 100003 as created_s from conversations""",
+        1704067200 + (conv_id * 1000000000 + turn) % 100003 * 7919 % 100003 as created_s from conversations""",
     ),
     "texts": (
         ["versions"],

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from quire.sources.tables import TEXT_PARTITIONS
+
 SETTINGS = {
     # days and months are UTC
     "spark.sql.session.timeZone": "UTC",
@@ -33,5 +35,7 @@ def local_session(cores: str = "*", memory: str = "8g", partitions: str = "8") -
         .config("spark.driver.memory", memory)
         .getOrCreate()
     )
+    # the test tables are one file of one row group each
+    spark.conf.set(TEXT_PARTITIONS, str(spark.sparkContext.defaultParallelism))
     spark.sparkContext.setLogLevel("ERROR")
     return spark

@@ -14,30 +14,24 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.schema(TABLES[name]).parquet(f"{root}/{name}.parquet")
 
 
-SMALL_BYTES = 256 * 1024 * 1024
+#: Session setting: deal texts to so many tasks by key. For inputs of few files and row groups;
+#: without it, which is the default, texts are never shuffled on reading, whatever their size.
+TEXT_PARTITIONS = "quire.text.partitions"
 
 
-def is_small(df: DataFrame) -> bool:
-    """Whether a scan is smaller than two scan splits, by Catalyst's own estimate."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < SMALL_BYTES
-    except AttributeError:
-        return False
+def spread(df: DataFrame, key: str) -> DataFrame:
+    n = df.sparkSession.conf.get(TEXT_PARTITIONS, None)
+    return df.repartition(int(n), key) if n else df
 
 
 def text_table(spark: SparkSession, root: str, name: str, key: str) -> DataFrame:
-    """A table with long texts. A small one is spread over all cores; a larger one comes in
-    enough splits by itself and is not shuffled."""
-    df = read_table(spark, root, name)
-    return df.repartition(spark.sparkContext.defaultParallelism, key) if is_small(df) else df
+    """A table with long texts."""
+    return spread(read_table(spark, root, name), key)
 
 
 def text_stream(spark: SparkSession, root: str, name: str, key: str) -> DataFrame:
-    """The stream of such a table, under the same rule."""
-    df = stream_table(spark, root, name)
-    if is_small(read_table(spark, root, name)):
-        return df.repartition(spark.sparkContext.defaultParallelism, key)
-    return df
+    """The stream of such a table."""
+    return spread(stream_table(spark, root, name), key)
 
 
 def stream_table(spark: SparkSession, root: str, name: str, max_files: int | None = None) -> DataFrame:

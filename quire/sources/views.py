@@ -16,6 +16,8 @@ from quire.operators.scale import with_rank
 from quire.sources.tables import read_table, text_table
 
 AS_OF = "2024-01-30"
+# an id of (item, turn); no item has so many turns
+TURNS_PER_ITEM = 1_000_000_000
 
 
 def book_number(book_id: Column) -> Column:
@@ -146,7 +148,7 @@ def versions(spark: SparkSession, root: str) -> DataFrame:
     body = F.concat(
         F.lit("v"), F.col("item_id").cast("string"), F.lit("-"), F.col("turn").cast("string")
     )
-    sid = F.col("item_id") * 100 + F.col("turn")
+    sid = F.col("item_id") * TURNS_PER_ITEM + F.col("turn")
     return ranked.select(
         sid.alias("summary_id"),
         "item_id",
@@ -158,7 +160,7 @@ def versions(spark: SparkSession, root: str) -> DataFrame:
         .when(F.col("turn") % 3 == 1, F.concat(F.lit('{"content":"'), body, F.lit('"}')))
         .otherwise(F.concat(F.lit('{"text":{"text":"'), body, F.lit('"}}')))
         .alias("payload"),
-        (F.lit(1704067200) + (sid * 7919) % 100003).alias("created_s"),
+        (F.lit(1704067200) + sid % 100003 * 7919 % 100003).alias("created_s"),
     )
 
 
