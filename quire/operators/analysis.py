@@ -170,13 +170,17 @@ def chapter_sections(rows: DataFrame, extra: tuple[Column, ...] = ()) -> DataFra
 
 
 def book_texts(chapters: DataFrame, books: DataFrame) -> DataFrame:
-    """'# title' and text of the main chapters; a book without any has one empty part."""
+    """'# title' and text of the main chapters; a book without any has one empty part, found by
+    keys alone, so that no text meets a join on the book."""
     text = F.concat(
         F.lit("# "), title_or_default(F.col("title"), F.col("chapter_number")), F.lit("\n\n"), F.col("content"), F.lit("\n\n")
     )
-    parts = ordered_parts(main_chapters(chapters), ["book_id"], "chapter_number", text, "text", "\n")
-    return books.join(parts, "book_id", "left").select(
-        "book_id", F.coalesce("part", F.lit(0)).alias("part"), F.coalesce("text", F.lit("")).alias("text")
+    main = main_chapters(chapters)
+    parts = ordered_parts(main, ["book_id"], "chapter_number", text, "text", "\n")
+    filled = main.select(F.col("book_id").alias("filled")).distinct()
+    empty = books.join(filled, F.col("book_id").eqNullSafe(F.col("filled")), "left_anti")
+    return parts.select("book_id", "part", F.coalesce("text", F.lit("")).alias("text")).unionByName(
+        empty.select("book_id", F.lit(0).alias("part"), F.lit("").alias("text"))
     )
 
 
