@@ -48,14 +48,18 @@ def sort_key(df: DataFrame, key: str, text: str) -> list[Column]:
     return [F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("k1"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("k2")]
 
 
+def cell_of(value: Column, low: Column, width: Column) -> Column:
+    """(value - low) div width, exact over all 64-bit numbers."""
+    wide = "decimal(20,0)"
+    return F.call_function("div", value.cast(wide) - low.cast(wide), width.cast(wide))
+
+
 def _count_cells(keys: DataFrame, column: str, probes: list[Probe]) -> dict[tuple, list]:
     """Bytes, rows and distinct keys in the cells of each interval; at most CELLS rows each."""
     cell: Column = F.lit(None).cast("struct<id:bigint,low:bigint,high:bigint,cell:bigint>")
     for p in {(p.id, p.low, p.high): p for p in probes}.values():
         width = -(-(p.high - p.low + 1) // CELLS)
-        at = F.floor((F.col(column).cast("decimal(38,0)") - F.lit(p.low).cast("decimal(38,0)")) / F.lit(width).cast("decimal(38,0)")).cast("long")
-        if width == 1:
-            at = F.col(column) - F.lit(p.low)
+        at = F.col(column) - F.lit(p.low) if width == 1 else cell_of(F.col(column), F.lit(p.low), F.lit(width))
         within = F.col(column).between(p.low, p.high) & (F.lit(True) if p.id is None else F.col("k1") == p.id)
         cell = F.when(within, F.struct(F.lit(p.id).cast("long").alias("id"), F.lit(p.low).alias("low"), F.lit(p.high).alias("high"), at.alias("cell"))).otherwise(cell)
     found: dict[tuple, list] = {}

@@ -138,6 +138,18 @@ def test_shards(spark, ids, tmp_path):
             before += r.size
 
 
+@pytest.mark.parametrize("ids", [[None, *range(1001)], [k * (1 << 64) // 1000 - (1 << 63) for k in range(1000)], [k * (1 << 45) - 1 for k in range(1, 1001)], [k << 54 for k in range(-500, 500)]])
+def test_shards_of_null_and_sparse_ids(spark, ids, tmp_path):
+    rows = [(i, "x" * (k * k % 50)) for k, i in enumerate(ids)]
+    got = op3.write_shards(spark.createDataFrame(rows, "doc_id bigint, text string"), str(tmp_path / "s"), 8).collect()
+    before, total, first = 0, sum(r.size for r in got), {}
+    assert len(got) == len(rows)
+    for n, r in enumerate(sorted(got, key=lambda r: -(1 << 63) if r.doc_id is None else r.doc_id)):
+        assert r.shard == 8 * before // total
+        assert r.slot == n - first.setdefault(r.shard, n)
+        before += r.size
+
+
 def test_substrings(docs):
     got = [(r.doc_id, r.n_words, r.n_removed, r.kept) for r in op4.remove_repeats(docs, 7).collect()]
     assert sorted(got) == sorted(brute.repeated_words(ROWS, 7))
