@@ -8,9 +8,11 @@ is left; an id of several texts is then probed by the text's hash. A splitter be
 lower shard, so a row is in shard floor(bytes before it * n / all bytes), up to the tolerance.
 
 Only (id, hash, size) is read again and again, from a written table. The rows are exchanged
-once, by shard and a bucket of bounded size, sorted by key inside the bucket and written. The
-slot is the row's number in its bucket plus the rows of the shard's earlier buckets, so no
-task holds a whole shard.
+once, by shard and bucket, sorted by key inside the bucket and written. Buckets are ranges of
+the key: a shard of more than BUCKET_ROWS rows is cut into cells, a cell of more into cells
+again, until only rows of one key are left together. The slot is the row's number in its
+bucket plus the rows of the shard's earlier buckets, which is its rank in the shard at any
+size, and no task holds a whole shard of different keys.
 
 A null text has size 1 and stays null, a null id sorts first. Rows equal in id and text have
 equal keys and stay in one shard. Empty tables write no rows. Input columns named like the
@@ -111,20 +113,45 @@ def shard_of(k1: Column, k2: Column, cuts: list[tuple[int, int]]) -> Column:
     return shard
 
 
+def in_buckets(rows: DataFrame, cuts: list[tuple[int, int]], levels: list[DataFrame]) -> DataFrame:
+    """``rows`` with shard and bucket: the row's cell at each level, so that buckets of a shard
+    ascend like their keys."""
+    rows = rows.withColumns({"shard": shard_of(F.col("k1"), F.col("k2"), cuts), "bucket": F.array().cast("array<bigint>")})
+    for level in levels:
+        rows = rows.join(level, ["shard", "bucket"], "left")
+        value = F.when(F.col("of_hash"), F.col("k2")).otherwise(F.col("k1"))
+        deeper = F.concat("bucket", F.array(cell_of(value, F.col("cell_low"), F.col("cell_width"))))
+        rows = rows.withColumn("bucket", F.when(F.col("cell_width").isNotNull(), deeper).otherwise(F.col("bucket"))).drop("of_hash", "cell_low", "cell_width")
+    return rows
+
+
+def bucket_levels(keys: DataFrame, cuts: list[tuple[int, int]]) -> tuple[list[DataFrame], DataFrame]:
+    """For each level the buckets to cut into CELLS cells, by id or else by hash, until none has
+    more than BUCKET_ROWS rows or each that has is one key; and the rows (n) of all buckets."""
+    levels: list[DataFrame] = []
+    while True:
+        ends = [F.min("k1").alias("low1"), F.max("k1").alias("high1"), F.min("k2").alias("low2"), F.max("k2").alias("high2")]
+        rows = materialize(keys.sparkSession, in_buckets(keys, cuts, levels).groupBy("shard", "bucket").agg(F.count("*").alias("n"), *ends), "shard-buckets")
+        one = F.col("low1") == F.col("high1")
+        large = rows.where((F.col("n") > BUCKET_ROWS) & ~(one & (F.col("low2") == F.col("high2"))))
+        if large.isEmpty():
+            return levels, rows
+        low, high = F.when(one, F.col("low2")).otherwise(F.col("low1")), F.when(one, F.col("high2")).otherwise(F.col("high1"))
+        levels.append(large.select("shard", "bucket", one.alias("of_hash"), low.alias("cell_low"), (cell_of(high, low, F.lit(CELLS)) + 1).alias("cell_width")))
+
+
 def write_shards(docs: DataFrame, path: str, shards: int = 8, key: str = "doc_id", text: str = "text", tolerance: int = 0) -> DataFrame:
     """Writes ``docs`` with size, law, shard and slot below ``path``, one folder a shard, and
     reads them back."""
     spark: SparkSession = docs.sparkSession
-    docs = docs.drop("size", "law", "shard", "slot", "k1", "k2", "bucket", "before", "place")
+    docs = docs.drop("size", "law", "shard", "slot", "k1", "k2", "bucket", "before", "place", "of_hash", "cell_low", "cell_width")
     size = (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
     keys = materialize(spark, docs.select(*sort_key(docs, key, text), size.alias("size")), "shard-keys")
     cuts = splitters(keys, shards, tolerance)
-    buckets = max(1, -(-keys.count() // BUCKET_ROWS // shards))
-    place = {"shard": shard_of(F.col("k1"), F.col("k2"), cuts), "bucket": F.pmod(F.xxhash64("k1", "k2"), F.lit(buckets)).cast("int")}
-    rows = keys.withColumns(place).groupBy("shard", "bucket").agg(F.count("*").alias("n"))
+    levels, rows = bucket_levels(keys, cuts)
     earlier = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = rows.select("shard", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    out = docs.select("*", *sort_key(docs, key, text), size.alias("size")).withColumns(place).repartition("shard", "bucket")
+    out = in_buckets(docs.select("*", *sort_key(docs, key, text), size.alias("size")), cuts, levels).repartition("shard", "bucket")
     out = out.withColumn("place", F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("k1", "k2")))
     out = out.join(before, ["shard", "bucket"], "left")
     out = out.withColumns({"slot": F.col("before") + F.col("place") - 1, "law": F.lit("bytes")}).drop("k1", "k2", "bucket", "before", "place")

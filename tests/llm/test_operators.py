@@ -150,6 +150,19 @@ def test_shards_of_null_and_sparse_ids(spark, ids, tmp_path):
         before += r.size
 
 
+def test_slots_are_ranks_in_the_shard(spark, tmp_path, monkeypatch):
+    """Shards of many buckets: dense, far and null ids, and one id of many texts."""
+    monkeypatch.setattr(op3, "BUCKET_ROWS", 20)
+    rows = [(i, f"x{i}") for i in [*range(2000), *(1 << (k % 62) for k in range(300)), *[77] * 30, None]] + [(55, f"y{k}") for k in range(300)]
+    got = op3.write_shards(spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("k", F.xxhash64("text")), str(tmp_path / "s"), 4).collect()
+    shard, at = 0, {}
+    assert len(got) == len(rows)
+    for r in sorted(got, key=lambda r: (-(1 << 63) if r.doc_id is None else r.doc_id, r.k, r.slot)):
+        assert r.shard >= shard and r.slot == at.get(r.shard, 0)
+        shard, at[r.shard] = r.shard, r.slot + 1
+    assert len(at) == 4
+
+
 def test_substrings(docs):
     got = [(r.doc_id, r.n_words, r.n_removed, r.kept) for r in op4.remove_repeats(docs, 7).collect()]
     assert sorted(got) == sorted(brute.repeated_words(ROWS, 7))
