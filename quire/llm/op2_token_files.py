@@ -14,16 +14,20 @@ Chunks are rows of a Parquet table written by Spark (uncompressed, as the planes
 lies in any store, and tasks that run again do no harm: part, chunk, n_ids, doc_ids, lengths,
 data. The chunk index beside it has each chunk's first id over all parts.
 
+The string of an added token in a text (``<|endoftext|>``) is that token, as the tokenizers
+library has it by default; only this spelling is, ``<|ENDOFTEXT|>`` is text.
+
 A null text is empty and has the end id only. A null id sorts first, rows of equal id are
 ordered by the hash of their text, and each row is a document. An empty table writes no chunks.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -107,16 +111,42 @@ _KIND[97:123] = 1  # ASCII letters
 _KIND[[ord(c) for c in "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"]] = 2  # signs; not the apostrophe, which letters may follow
 
 
-def word_units(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+def added_places(buf: np.ndarray, off: np.ndarray, added: re.Pattern[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of the added tokens' strings in the raw texts, as the tokenizer finds them:
+    from left to right, none over a text's end."""
+    raw, found = buf.tobytes(), []
+    at = 0
+    while m := added.search(raw, at):
+        end = int(off[np.searchsorted(off, m.start(), "right")])
+        if m.end() > end:  # look again inside this text, then from the next one
+            found += [x.span() for x in added.finditer(raw, m.start(), end)]
+            at = end
+        else:
+            found.append(m.span())
+            at = m.end()
+    starts, ends = np.array(found, np.int64).reshape(-1, 2).T
+    return starts, ends
+
+
+def word_units(buf: np.ndarray, off: np.ndarray, added: re.Pattern[bytes] | None = None) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """Number of each unit, the distinct units, and each text's first unit, for a tokenizer that
     lowers case, drops white space and parts letters from signs: words without white space, in
-    lower case as far as ASCII, cut between ASCII letters and signs."""
+    lower case as far as ASCII, cut between ASCII letters and signs. ``added``: the strings of
+    added tokens, each a unit as it stands."""
     b, n = _LOWER[buf], len(buf)
     inside = ~SPACES[b]
+    starts_added, ends_added = added_places(buf, off, added) if added is not None else (np.zeros(0, np.int64),) * 2
+    whole = np.zeros(n, bool)
+    for s, e in zip(starts_added.tolist(), ends_added.tolist()):
+        whole[s:e], b[s:e] = True, buf[s:e]
+    inside |= whole
     kind = _KIND[b]
     start = np.ones(n, bool)
     start[1:] = ~inside[:-1] | (kind[1:] + kind[:-1] == 3)  # a letter beside a sign, or white space before
     start[off[off < n]] = True
+    start[whole] = False
+    start[starts_added] = True
+    start[ends_added[ends_added < n]] = True
     start &= inside
     place = np.concatenate([[0], np.cumsum(inside)])
     starts = place[:-1][start]
@@ -134,7 +164,8 @@ class Units:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are text
+        strings = sorted((t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.added = re.compile(b"|".join(map(re.escape, strings))) if strings else None
         (self.mark,) = self.tokenizer.encode(MARK.decode(), add_special_tokens=False).ids
         self.clear()
 
@@ -208,7 +239,8 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1, bits:
             buf, off = text_bytes(column(batch, "text"))
             doc_ids = column(batch, "_id").to_pylist()
             for i, j in cuts(off, SLICE_BYTES):
-                tokens, first = text_ids(buf[off[i] : off[j]], off[i : j + 1] - off[i], units_of(tokenizer).encode, word_units)
+                units = units_of(tokenizer)
+                tokens, first = text_ids(buf[off[i] : off[j]], off[i : j + 1] - off[i], units.encode, partial(word_units, added=units.added))
                 size = np.diff(first) + 1
                 ended = np.full(size.sum(), end_id, np.int32)
                 ended[np.arange(len(tokens)) + np.repeat(np.arange(j - i), size - 1)] = tokens

@@ -115,6 +115,19 @@ def test_word_units_equal_the_library():
         assert ids[first[k] : first[k + 1]].tolist() == e.ids, repr(texts[k])
 
 
+def test_added_tokens_equal_the_untouched_library(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(WORDS)
+    rng = random.Random(2)
+    parts = [" ", "a", "B", "é", "日", "'s", "!", "<", "<|", "|>", "\u0301", "\x01", "endoftext", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endof"]
+    texts = ["see <|endoftext|> here", "<|endof", "text|>", None, "<|endoftext|>"] + ["".join(rng.choice(parts) for _ in range(rng.randrange(30))) for _ in range(600)]
+    op2.write_ids(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), WORDS, str(tmp_path / "t"))
+    got = {r.doc_id: r.ids for r in op2.read_documents(spark, str(tmp_path / "t")).collect()}
+    for i, text in enumerate(texts):
+        assert got[i] == [*t.encode(text or "", add_special_tokens=False).ids, 1], repr(text)
+
+
 @pytest.mark.parametrize("n", [0, 1, 65536, 200001])
 def test_planes_round_trip(n):
     ids = np.random.default_rng(n).integers(0, 1 << 20, n).astype(np.uint32)
