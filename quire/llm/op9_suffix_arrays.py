@@ -13,7 +13,8 @@
    shard over PIECE_BYTES is worked piece by piece; the windows known so far are a sorted
    list in which those of the next piece are looked up by binary search. Of one window all
    occurrences but the earliest are repeats.
-4. Repeats go back by block, merge into maximal spans and are joined to the texts.
+4. Repeats go back by block and merge into maximal spans; those of all blocks with a row of
+   equal id and text are united and joined to the texts.
 
 Occurrences are ordered by id, then by place. A row without id counts as smaller than every
 id; rows of equal id are ordered by the hash of their text; rows equal in id and text are one
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import BYTE, NO_ID, SPANS, U64, append, blocks, column, covered, cuts, longs, mix, partitions, rolled, runs, spans_array, table_column, text_bytes, unz, z
@@ -466,6 +467,19 @@ def spans_of_block(size: int):
     return run
 
 
+def united(lists: str) -> Column:
+    """One list of spans from those of all blocks, as each block with one of several equal rows
+    may know a part. With starts and ends sorted apart, a span ends where the next start is
+    behind the end."""
+    spans = F.flatten(lists)
+    starts, ends = F.array_sort(F.transform(spans, lambda x: x["start"])), F.array_sort(F.transform(spans, lambda x: x["end"]))
+    n = F.size(starts)
+    first = F.filter(starts, lambda x, i: (i == 0) | (x > F.get(ends, i - 1)))
+    last = F.filter(ends, lambda x, i: (i == n - 1) | (x < F.get(starts, i + 1)))
+    merged = F.zip_with(first, last, lambda a, b: F.struct(a.alias("start"), b.alias("end")))
+    return F.when(F.size(lists) == 1, F.get(lists, 0)).otherwise(merged)
+
+
 def repeated_spans(docs: DataFrame, size: int = WINDOW, text: str = "text", piece_bytes: int = PIECE_BYTES) -> DataFrame:
     """_id, _hash, spans: the maximal spans of bytes to remove, where there are any. ``docs``
     has _id and _hash; it is joined with all its columns, as later with the spans, so that one
@@ -480,7 +494,7 @@ def repeated_spans(docs: DataFrame, size: int = WINDOW, text: str = "text", piec
     cut = docs.join(anchors, ["_id", "_hash"]).mapInArrow(regions(size, shards, text), ROW)
     repeats = cut.groupBy("bucket").applyInArrow(shard_repeats(size, piece_bytes), ROW)
     spans = repeats.groupBy("block").applyInArrow(spans_of_block(size), f"_id bigint, _hash bigint, spans {SPANS}")
-    return spans.groupBy("_id", "_hash").agg(F.first("spans").alias("spans"))  # equal rows of several blocks
+    return spans.groupBy("_id", "_hash").agg(F.collect_set("spans").alias("lists")).select("_id", "_hash", united("lists").alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, size: int = WINDOW, key: str = "doc_id", text: str = "text", piece_bytes: int = PIECE_BYTES, as_text: bool = False) -> DataFrame:

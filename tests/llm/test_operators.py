@@ -188,6 +188,26 @@ def test_suffix_arrays(docs, size, piece):
     assert sorted((r.doc_id, r.n_bytes, r.n_removed, len(r.removed or []), bytes(r.kept)) for r in got) == sorted(brute.repeated_bytes(rows, size))
 
 
+def test_equal_rows_of_several_blocks_lose_all_repeats(spark, monkeypatch):
+    """Blocks of one text: each of three equal rows is in a block of its own, and the repeats
+    have many anchors, so their shards meet the blocks in different orders."""
+    monkeypatch.setattr(op9, "BLOCK_BYTES", 1)
+    rng = random.Random(8)
+    part = ["".join(rng.choices("abcdefghijklmnop", k=400)) for _ in range(12)]
+    rows = [(i, x) for i, x in enumerate(part)] + [(100, "-".join(part))] * 3 + [(101, "+".join(part[:6]))] * 2
+    got = op9.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)).collect()
+    want = {r[0]: r[1:] for r in brute.repeated_bytes(list(dict(rows).items()), 100)}
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r.n_bytes, r.n_removed, len(r.removed or []), bytes(r.kept)) == want[r.doc_id]
+
+
+def test_spans_of_blocks_unite(spark):
+    rows = [([[(0, 100)], [(50, 160), (300, 400)], [(160, 200)]],), ([[(5, 105)]],), ([[(0, 100), (200, 300)], [(250, 350)], [(0, 100)]],)]
+    df = spark.createDataFrame(rows, f"lists array<{op9.SPANS}>").select(op9.united("lists").alias("spans"))
+    assert [[(s.start, s.end) for s in r.spans] for r in df.collect()] == [[(0, 200), (300, 400)], [(5, 105)], [(0, 100), (200, 350)]]
+
+
 def test_suffix_array_and_common_prefixes():
     rng = random.Random(2)
     for _ in range(30):
