@@ -6,7 +6,9 @@
    like op4's windows: packed by block, dealt into buckets by hash, answered by block.
 2. Windows with a repeated anchor are cut out: a region is a run of consecutive windows with
    one anchor. Regions are dealt to shards by anchor, so equal windows always meet. A block
-   sends one copy of equal regions and knows the others as repeats.
+   sends one copy of equal regions and knows the others as repeats. An anchor of more than
+   HOT_REGIONS distinct regions would fill one shard: its windows are dealt one by one by the
+   hash of the whole window, which equal windows share too.
 3. A shard builds the suffix array of its regions by Larsson-Sadakane refinement (rank pairs
    at doubling distance, sorting only groups that are not yet told apart) and the common
    prefixes by Kasai's walk; neighbours with a common prefix of ``size`` are one window. A
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import BYTE, NO_ID, SPANS, U64, append, blocks, column, covered, cuts, longs, mix, partitions, rolled, runs, spans_array, table_column, text_bytes, unz, z
+from quire.llm.common import BYTE, NO_ID, SPANS, U64, append, blocks, column, covered, cuts, longs, mix, partitions, powers, rolled, runs, spans_array, table_column, text_bytes, unz, z
 from quire.llm.op4_substrings import FIELDS, ROW
 
 WINDOW = 100
@@ -40,6 +42,9 @@ BLOCK_BYTES = 16 << 20
 BUCKET_BYTES = 96 << 20
 SHARD_BYTES = 6 << 20
 PIECE_BYTES = 3 << 20
+#: More distinct regions of one anchor than this are dealt window by window.
+HOT_REGIONS = SHARD_BYTES // (2 * WINDOW - GRAM)
+HOT_WINDOWS = 1 << 17
 
 
 def slide(values: np.ndarray, span: int, best) -> np.ndarray:
@@ -62,16 +67,19 @@ def window_anchors(buf: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndar
     return grams, slide(grams, size - gram + 1, np.minimum), np.arange(n - size + 1) + size <= end[: n - size + 1]
 
 
-def anchor_places(buf: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Every gram that is the anchor of some window: text, hash."""
+def anchor_places(buf: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every gram that is the anchor of some window: text, hash, hash of all bytes of the
+    text that windows with it can have."""
     grams, anchors, valid = window_anchors(buf, off, size)
     if not len(grams):
-        return np.zeros(0, np.int64), grams
+        return np.zeros(0, np.int64), grams, grams
     # a gram is one if the greatest anchor of the windows round it is its own hash
     margin = np.zeros(size - min(GRAM, size), U64)
     greatest = slide(np.concatenate([margin, np.where(valid, anchors, U64(0)), margin]), len(margin) + 1, np.maximum)
     at = np.flatnonzero(greatest == grams)
-    return np.searchsorted(off, at, "right") - 1, grams[at]
+    doc = np.searchsorted(off, at, "right") - 1
+    low, high = np.maximum(at - len(margin), off[doc]), np.minimum(at + size, off[doc + 1])
+    return doc, grams[at], mix(rolled(BYTE[buf], low, high) + (high - low).astype(U64))
 
 
 def anchor_runs(buf: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -121,7 +129,7 @@ def anchor_entries(size: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, table in blocks(batches, BLOCK_BYTES):
             table, ids, hashes = in_order(table)
-            doc, h = by_slices(anchor_places, *text_bytes(table_column(table, "text")), size)
+            doc, h, round_ = by_slices(anchor_places, *text_bytes(table_column(table, "text")), size)
             sort = np.argsort(h)
             hs = h[sort]
             head = np.ones(len(h), bool)
@@ -129,6 +137,15 @@ def anchor_entries(size: int, buckets: int):
             values = hs[head]
             heads = np.flatnonzero(head)
             many = np.diff(np.append(heads, len(h))) > 1
+            # distinct surroundings of each anchor, about the regions the block will send
+            of_value = np.cumsum(head) - 1
+            open_ = many[of_value]
+            mine, around = of_value[open_], round_[sort][open_]
+            pairs = np.lexsort((around, mine))
+            new = np.ones(len(pairs), bool)
+            new[1:] = (np.diff(mine[pairs]) != 0) | (around[pairs][1:] != around[pairs][:-1])
+            distinct = np.where(many, np.bincount(mine[pairs][new], minlength=len(values)), 1)
+            counts = (distinct << 1 | many).astype(np.uint32)
             bucket = (values % U64(buckets)).astype(np.int64)
             dealt = np.argsort(bucket, kind="stable")
             at = np.searchsorted(bucket[dealt], np.arange(buckets + 1))
@@ -141,36 +158,46 @@ def anchor_entries(size: int, buckets: int):
             for b in range(buckets):
                 mine = dealt[at[b] : at[b + 1]]
                 if len(mine):
-                    rows.append((b, number, False, values[mine].tobytes(), z(many[mine]), None, None, None, None))
+                    rows.append((b, number, False, values[mine].tobytes(), z(counts[mine]), None, None, None, None))
             yield record(rows)
 
     return run
 
 
-def count_anchors(table: pa.Table) -> pa.Table:
-    """For each block the anchors of this bucket that repeat: values, and places in the bucket."""
-    whole = table.column("whole").to_numpy()
-    passed, rows = table.filter(pa.array(whole)), table.filter(pa.array(~whole))
-    out = []
-    if rows.num_rows:
-        values = [np.frombuffer(x, np.uint64) for x in rows.column("a").to_pylist()]
-        h = np.concatenate(values)
-        many = np.concatenate([unz(x, bool) for x in rows.column("b").to_pylist()])
-        sort = np.argsort(h)
-        hs = h[sort]
-        head = np.ones(len(h), bool)
-        head[1:] = hs[1:] != hs[:-1]
-        heads = np.flatnonzero(head)
-        often = np.logical_or(np.diff(np.append(heads, len(h))) > 1, np.logical_or.reduceat(many[sort], heads))
-        repeat = np.zeros(len(h), bool)
-        repeat[sort] = often[np.cumsum(head) - 1]
-        ends = np.cumsum([len(x) for x in values])
-        for bucket, number, mine, end in zip(rows.column("bucket").to_pylist(), rows.column("block").to_pylist(), values, ends):
-            flags = repeat[end - len(mine) : end]
-            if flags.any():
-                out.append((bucket, number, False, mine[flags].tobytes(), z(np.flatnonzero(flags)), None, None, None, None))
-    made = pa.table([pa.array([r[i] for r in out], passed.schema.field(i).type) for i in range(len(FIELDS))], schema=passed.schema)
-    return pa.concat_tables([passed, made])
+def count_anchors(hot: int):
+    """For each block the anchors of this bucket that repeat: values, and places in the bucket.
+    The last bit of a value, set in all hashes, is taken away in anchors of more than ``hot``
+    distinct surroundings."""
+
+    def run(table: pa.Table) -> pa.Table:
+        whole = table.column("whole").to_numpy()
+        passed, rows = table.filter(pa.array(whole)), table.filter(pa.array(~whole))
+        out = []
+        if rows.num_rows:
+            values = [np.frombuffer(x, np.uint64) for x in rows.column("a").to_pylist()]
+            h = np.concatenate(values)
+            counts = np.concatenate([unz(x, np.uint32) for x in rows.column("b").to_pylist()]).astype(np.int64)
+            many = (counts & 1) > 0
+            sort = np.argsort(h)
+            hs = h[sort]
+            head = np.ones(len(h), bool)
+            head[1:] = hs[1:] != hs[:-1]
+            heads = np.flatnonzero(head)
+            often = np.logical_or(np.diff(np.append(heads, len(h))) > 1, np.logical_or.reduceat(many[sort], heads))
+            crowded = np.add.reduceat(counts[sort] >> 1, heads) > hot
+            repeat = np.zeros(len(h), bool)
+            repeat[sort] = often[np.cumsum(head) - 1]
+            told = np.empty(len(h), U64)
+            told[sort] = hs ^ crowded[np.cumsum(head) - 1].astype(U64)
+            ends = np.cumsum([len(x) for x in values])
+            for bucket, number, mine, end in zip(rows.column("bucket").to_pylist(), rows.column("block").to_pylist(), values, ends):
+                flags = repeat[end - len(mine) : end]
+                if flags.any():
+                    out.append((bucket, number, False, told[end - len(mine) : end][flags].tobytes(), z(np.flatnonzero(flags)), None, None, None, None))
+        made = pa.table([pa.array([r[i] for r in out], passed.schema.field(i).type) for i in range(len(FIELDS))], schema=passed.schema)
+        return pa.concat_tables([passed, made])
+
+    return run
 
 
 def anchors_of_texts(table: pa.Table) -> pa.Table:
@@ -204,8 +231,9 @@ def regions(size: int, shards: int, text: str):
             buf, off = text_bytes(table_column(table, text))
             doc, start, n, anchor = by_slices(anchor_runs, buf, off, size)
             known = np.unique(np.concatenate([np.frombuffer(x, U64) for x in table.column("anchors").to_pylist()] or [np.zeros(0, U64)]))
-            at = np.minimum(np.searchsorted(known, anchor), max(0, len(known) - 1))
-            keep = known[at] == anchor if len(known) else np.zeros(len(anchor), bool)
+            at = np.minimum(np.searchsorted(known | U64(1), anchor), max(0, len(known) - 1))
+            keep = (known[at] | U64(1)) == anchor if len(known) else np.zeros(len(anchor), bool)
+            hot = (known[at[keep]] & U64(1)) == 0
             doc, start, n, anchor = doc[keep], start[keep], n[keep], anchor[keep]
             base = np.cumsum(n) - n
             raw, seen, copy = buf.tobytes(), set(), np.zeros(len(doc), bool)
@@ -220,7 +248,7 @@ def regions(size: int, shards: int, text: str):
             n_bytes = np.diff(off)
             rows = [(number % shards, number, True, z(ids), z(hashes), z(n_bytes), z(doc), z(np.stack([start, n])), z(copy))]
             shard = (mix(anchor) % U64(shards)).astype(np.int64)
-            sent = np.flatnonzero(~copy)
+            sent = np.flatnonzero(~copy & ~hot)
             sent = sent[np.argsort(shard[sent], kind="stable")]
             cut = np.searchsorted(shard[sent], np.arange(shards + 1))
             for b in range(shards):
@@ -229,6 +257,25 @@ def regions(size: int, shards: int, text: str):
                     rows.append((b, number, False, z(np.frombuffer(b"".join([texts[k] for k in mine.tolist()]), np.uint8)), z(n[mine] + size - 1), z(np.diff(ids[doc[mine]], prepend=0)), hashes[doc[mine]].tobytes(), z(start[mine]), z(np.diff(base[mine], prepend=0))))
             for i in range(0, len(rows), 32):
                 yield record(rows[i : i + 32])
+            # regions of crowded anchors go window by window, by the hash of the whole window
+            single = np.flatnonzero(~copy & hot)
+            ends = np.cumsum(n[single])
+            for i in range(0, int(ends[-1]) if len(single) else 0, HOT_WINDOWS):
+                number_of = np.arange(i, min(i + HOT_WINDOWS, ends[-1]))
+                k = np.searchsorted(ends, number_of, "right")
+                step = number_of - (ends - n[single])[k]
+                k = single[k]
+                window = np.lib.stride_tricks.sliding_window_view(buf, size)[off[doc[k]] + start[k] + step]
+                value = np.zeros(len(k), U64)
+                for p, power in enumerate(powers(size)):
+                    value += BYTE[window[:, p]] * power
+                shard = (mix(value) % U64(shards)).astype(np.int64)
+                dealt = np.argsort(shard, kind="stable")
+                cut = np.searchsorted(shard[dealt], np.arange(shards + 1))
+                for b in np.flatnonzero(np.diff(cut)).tolist():
+                    mine = dealt[cut[b] : cut[b + 1]]
+                    at = k[mine]
+                    yield record([(b, number, False, z(window[mine]), z(np.full(len(mine), size)), z(np.diff(ids[doc[at]], prepend=0)), hashes[doc[at]].tobytes(), z(start[at] + step[mine]), z(np.diff(base[at] + step[mine], prepend=0)))])
 
     return run
 
@@ -480,7 +527,7 @@ def united(lists: str) -> Column:
     return F.when(F.size(lists) == 1, F.get(lists, 0)).otherwise(merged)
 
 
-def repeated_spans(docs: DataFrame, size: int = WINDOW, text: str = "text", piece_bytes: int = PIECE_BYTES) -> DataFrame:
+def repeated_spans(docs: DataFrame, size: int = WINDOW, text: str = "text", piece_bytes: int = PIECE_BYTES, hot: int = HOT_REGIONS) -> DataFrame:
     """_id, _hash, spans: the maximal spans of bytes to remove, where there are any. ``docs``
     has _id and _hash; it is joined with all its columns, as later with the spans, so that one
     exchange of the texts serves both joins."""
@@ -488,7 +535,7 @@ def repeated_spans(docs: DataFrame, size: int = WINDOW, text: str = "text", piec
     total = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
     n = partitions(spark)
     buckets, shards = max(n, -(-total // BUCKET_BYTES)), max(n, -(-total // SHARD_BYTES))
-    counted = docs.select("_id", "_hash", F.col(text).alias("text")).mapInArrow(anchor_entries(size, buckets), ROW).groupBy("bucket").applyInArrow(count_anchors, ROW)
+    counted = docs.select("_id", "_hash", F.col(text).alias("text")).mapInArrow(anchor_entries(size, buckets), ROW).groupBy("bucket").applyInArrow(count_anchors(hot), ROW)
     anchors = counted.groupBy("block").applyInArrow(anchors_of_texts, "_id bigint, _hash bigint, anchors binary")
     anchors = anchors.groupBy("_id", "_hash").agg(F.first("anchors").alias("anchors"))
     cut = docs.join(anchors, ["_id", "_hash"]).mapInArrow(regions(size, shards, text), ROW)
@@ -497,12 +544,12 @@ def repeated_spans(docs: DataFrame, size: int = WINDOW, text: str = "text", piec
     return spans.groupBy("_id", "_hash").agg(F.collect_set("spans").alias("lists")).select("_id", "_hash", united("lists").alias("spans"))
 
 
-def remove_repeats(docs: DataFrame, size: int = WINDOW, key: str = "doc_id", text: str = "text", piece_bytes: int = PIECE_BYTES, as_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, size: int = WINDOW, key: str = "doc_id", text: str = "text", piece_bytes: int = PIECE_BYTES, as_text: bool = False, hot: int = HOT_REGIONS) -> DataFrame:
     """``docs`` with n_bytes, n_removed, removed (maximal spans of bytes) and kept (the bytes
     left, as binary: a cut may fall inside a character; as text without such broken ones)."""
     docs = docs.drop("n_bytes", "n_removed", "removed", "kept", "anchors", "_id", "_hash")
     docs = docs.withColumns({"_id": F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)), "_hash": F.coalesce(F.xxhash64(text), F.lit(0))})
-    spans = repeated_spans(docs, size, text, piece_bytes).withColumnRenamed("spans", "removed")
+    spans = repeated_spans(docs, size, text, piece_bytes, hot).withColumnRenamed("spans", "removed")
     joined = docs.join(spans, ["_id", "_hash"], "left")
 
     def fn(part: pa.RecordBatch) -> list[pa.Array]:

@@ -208,6 +208,35 @@ def test_spans_of_blocks_unite(spark):
     assert [[(s.start, s.end) for s in r.spans] for r in df.collect()] == [[(0, 200), (300, 400)], [(5, 105)], [(0, 100), (200, 350)]]
 
 
+HOT = "a phrase of ninety bytes that stands in very many of the texts, with other bytes round it"
+
+
+def test_hot_anchor_is_dealt_to_all_shards(spark):
+    import pyarrow as pa
+
+    from quire.llm.common import text_bytes, unz
+
+    rng = random.Random(9)
+    texts = ["".join(rng.choices("bcdfgh", k=70)) + HOT + "".join(rng.choices("bcdfgh", k=70)) for _ in range(200)]
+    h = op9.anchor_places(*text_bytes(pa.array(texts)), 100)[1]
+    values, count = np.unique(h, return_counts=True)
+    hot = values[count > 20] ^ np.uint64(1)
+    df = spark.createDataFrame([(i, i, x, bytearray(hot.tobytes())) for i, x in enumerate(texts)], "_id bigint, _hash bigint, text string, anchors binary")
+    windows = [0] * 8
+    for r in df.mapInArrow(op9.regions(100, 8, "text"), op9.ROW).where("not whole").collect():
+        windows[r.bucket] += int((unz(r.b, np.int64) - 99).sum())
+    assert sum(windows) > 500 and max(windows) < 2 * sum(windows) / 8
+
+
+@pytest.mark.parametrize("hot", [2, 1 << 40])
+def test_suffix_arrays_with_hot_anchors(spark, hot):
+    rng = random.Random(10)
+    around = ["".join(rng.choices("bcdfgh", k=60)) for _ in range(12)]
+    rows = [(i, rng.choice(around) + HOT + rng.choice(around) + "x" * rng.randrange(130)) for i in range(80)] + [(None, None), (200, "")]
+    got = op9.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4), piece_bytes=4000, hot=hot).collect()
+    assert sorted((r.n_bytes, r.n_removed, len(r.removed or []), bytes(r.kept)) for r in got if r.doc_id is not None) == sorted(x[1:] for x in brute.repeated_bytes(rows[:80] + rows[81:], 100))
+
+
 def test_suffix_array_and_common_prefixes():
     rng = random.Random(2)
     for _ in range(30):
