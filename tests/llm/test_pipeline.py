@@ -1,5 +1,6 @@
 import public_tokenizers
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quire.llm import op5_bpe, op6_quality
@@ -26,3 +27,21 @@ def test_pipeline_equals_plain_python(spark):
     got = {r.doc_id: (r.text, r.ids) for r in corpus_pipeline.run(spark, ROOT).collect()}
     assert got == want and 0 < len(got) < docs.count()
     assert [n for n, _ in corpus_pipeline.STAGES] and corpus_pipeline.ORACLE_SQL is None
+
+
+CLASH = ["_host", "_path", "_id", "_hash", "anchors", "_spans", "_items", "global_rate", "kept_id", "score", "evidence", "removed", "kept", "n_words", "rejected", "contaminated", "decoded", "quality"]
+
+
+def test_extra_columns_pass_and_equal_rows_stay_once(spark):
+    docs = spark.read.parquet(f"{ROOT}/documents.parquet").limit(60)
+    docs = docs.union(docs.limit(5)).union(docs.limit(5).withColumn("doc_id", F.lit(None).cast(docs.schema["doc_id"].dataType))).union(docs.limit(5).withColumn("doc_id", F.lit(None).cast(docs.schema["doc_id"].dataType)))
+    docs = docs.withColumns({c: F.concat(F.lit(c), F.coalesce("text", F.lit(""))) for c in CLASH}).localCheckpoint()
+    first = {c: {r[0] for r in docs.select(c).collect()} for c in CLASH}
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, ROOT)
+        assert set(docs.columns) <= set(got.columns), name
+        rows = got.collect()
+        assert rows and all(r[c] in first[c] for r in rows for c in CLASH), name
+        if name == "MinHash near-dedup":
+            keys = [(r.doc_id, r.text) for r in rows]
+            assert len(keys) == len(set(keys)) and any(i is None for i, _ in keys)
