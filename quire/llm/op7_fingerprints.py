@@ -12,8 +12,8 @@ The fingerprint samples the walk's bits evenly at every scale: all of the first
 stretches by length, so a text's end counts like its beginning: the share of steps at which
 two walks agree beyond chance, 0 to 1; steps beyond the shorter walk's end disagree.
 
-near_pairs finds likely pairs by banding (bits sampled from the longest stretches that are
-full) and verifies them by likeness.
+near_pairs finds likely pairs by banding (32 bands of 16 bits sampled from the longest stretch
+that is full, and those before it) and verifies them by likeness. No registered query uses it.
 
 A null text is an empty one: no steps, fingerprint ``0:``, likeness 1 to another empty text
 and 0 to others. The next document is the next in ascending id order, null ids first, rows of
@@ -210,28 +210,49 @@ def compare_with_next(docs: DataFrame, key: str = "doc_id", text: str = "text")
     return found.where("edge = 0").select("_id", *NAMES).union(rest).withColumnRenamed("_id", key)
 
 
-def near_pairs(fingerprints: DataFrame, least: float = 0.8, key: str = "doc_id", bands: int = 8) -> DataFrame:
-    """a, b, likeness: documents of likeness ``least`` and more with the smallest document of
-    some band they share. ``fingerprints``: key, fingerprint."""
+#: For each band the sampled bits: how many stretches before the longest common one, which bit.
+BANDS, BAND_BITS, BLOCK_ROWS = 32, 16, 512
+_pick = np.random.Generator(np.random.PCG64(77))
+BAND_STRETCH = _pick.choice(4, (BANDS, BAND_BITS), p=[0.5, 0.25, 0.125, 0.125])
+BAND_BIT = _pick.integers(0, 64, (BANDS, BAND_BITS))
+
+
+def band_values(units: np.ndarray, bits: np.ndarray) -> list[list[int]]:
+    """The bands of each text: BANDS for its longest full stretch and as many for the one
+    before, so that texts on either side of a power of two have one in common."""
+    full = np.frexp(np.maximum(units, 1).astype(float))[1].astype(np.int64) - 1
+    out = []
+    for top in (full, full - 1):
+        for k in range(BANDS):
+            value = (np.maximum(top, 0) * BANDS + k).astype(U64)
+            for d, bit in zip(BAND_STRETCH[k], BAND_BIT[k]):
+                of = np.maximum(top - d, 0)
+                value = value << U64(1) | ((bits[np.arange(len(units)), of] >> U64(bit)) & U64(1))
+            out.append(value.astype(np.int64))
+    table = np.stack(out, axis=1)
+    return [[] if n == 0 else row[: BANDS * (1 + (n > 1))].tolist() for n, row in zip(units.tolist(), table)]
+
+
+def near_pairs(fingerprints: DataFrame, least: float = 0.8, key: str = "doc_id") -> DataFrame:
+    """a, b, likeness: pairs a < b of likeness ``least`` and more that share a band, documents of
+    equal fingerprints by their smallest id. Members of a band are paired in blocks of
+    BLOCK_ROWS. ``fingerprints``: key, fingerprint."""
 
     def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            units, bits = read(column(batch, "fingerprint").to_pylist())
-            full = np.maximum(np.where(units > 0, np.ceil(np.log2(np.maximum(units, 1) + 1)).astype(np.int64), 0) - 1, 0)
-            out = []
-            for k in range(bands):
-                value = np.zeros(len(units), np.int64)
-                for d in range(4):  # eight bits of each of the four longest full stretches
-                    of = np.maximum(full - d, 0)
-                    value = value << 8 | ((bits[np.arange(len(units)), of] >> U64(8 * k)) & U64(255)).astype(np.int64)
-                out.append(value << 3 | k)
-            yield pa.RecordBatch.from_arrays([column(batch, "id"), column(batch, "fingerprint"), pa.array(list(np.stack(out, axis=1)), pa.list_(pa.int64()))], ["id", "fingerprint", "bands"])
+            values = band_values(*read(column(batch, "fingerprint").to_pylist()))
+            yield pa.RecordBatch.from_arrays([column(batch, "id"), pa.array(values, pa.list_(pa.int64()))], ["id", "bands"])
 
     rows = fingerprints.select(F.col(key).alias("id"), "fingerprint")
     texts = rows.groupBy("fingerprint").agg(F.min("id").alias("id")).select("id", "fingerprint")
-    posted = texts.mapInArrow(band, "id bigint, fingerprint string, bands array<bigint>").select("id", F.explode("bands").alias("band"))
-    first = posted.groupBy("band").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1")
-    pairs = posted.join(first.select("band", "a"), "band").where("a <> id").select("a", F.col("id").alias("b")).distinct()
+    posted = texts.mapInArrow(band, "id bigint, bands array<bigint>").select("id", F.explode("bands").alias("band"))
+    posted = materialize(fingerprints.sparkSession, posted, "bands")
+    blocks = F.ceil(F.col("n") / BLOCK_ROWS).cast("long")
+    several = posted.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band", blocks.alias("blocks"))
+    rows = posted.join(several, "band").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    left = rows.select("band", F.col("own").alias("p"), F.col("other").alias("q"), F.col("id").alias("a"))
+    right = rows.select("band", F.col("other").alias("p"), F.col("own").alias("q"), F.col("id").alias("b"))
+    pairs = left.join(right, ["band", "p", "q"]).where("a < b").select("a", "b").distinct()
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("fingerprint").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("fingerprint").alias("y")), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -315,6 +315,28 @@ def test_near_pairs(spark, docs):
     assert (90, 1000) in {(r.a, r.b) for r in op7.near_pairs(f).collect()}
 
 
+def test_near_pairs_recall(spark):
+    """Against brute force, texts on either side of a power of two included; groups with several
+    pairs."""
+    rng = random.Random(12)
+    texts = []
+    for n in (300, 500, 520, 900, 1040, 2000):
+        for _ in range(6):
+            base = rng.choices("abcdefghijkl mnop", k=n)
+            for _ in range(6):
+                other = list(base)
+                for _ in range(rng.randrange(n // 40)):
+                    p = rng.randrange(len(other))
+                    other[p : p + 1] = rng.choice([[], ["q"], [other[p], "z"]])
+                texts.append("".join(other))
+    prints = sorted(set(op7.write(*op7.walks(texts))))
+    i, j = np.triu_indices(len(prints), 1)
+    near = op7.likeness([prints[k] for k in i], [prints[k] for k in j]) >= 0.8
+    want = set(zip(i[near].tolist(), j[near].tolist()))
+    got = {(r.a, r.b) for r in op7.near_pairs(spark.createDataFrame(list(enumerate(prints)), "doc_id bigint, fingerprint string")).collect()}
+    assert len(want) > 100 and got <= want and len(got) > 0.97 * len(want)
+
+
 def test_id_map_loses_no_wanted_id(spark):
     """Ids of both signs, repeated and null ones, and an empty list of wanted ids."""
     docs = spark.range(20000).select((F.col("id") * 7919 - 50_000_000).alias("_id"), F.lit("x").alias("text"))
