@@ -116,7 +116,8 @@ def shard_of(k1: Column, k2: Column, cuts: list[tuple[int, int]]) -> Column:
 def in_buckets(rows: DataFrame, cuts: list[tuple[int, int]], levels: list[DataFrame]) -> DataFrame:
     """``rows`` with shard and bucket: the row's cell at each level, so that buckets of a shard
     ascend like their keys."""
-    rows = rows.withColumns({"shard": shard_of(F.col("k1"), F.col("k2"), cuts), "bucket": F.array().cast("array<bigint>")})
+    rows = rows.withColumn("shard", shard_of(F.col("k1"), F.col("k2"), cuts))
+    rows = rows.withColumn("bucket", F.array(F.col("shard").cast("bigint")))  # a constant would cost a second exchange
     for level in levels:
         rows = rows.join(level, ["shard", "bucket"], "left")
         value = F.when(F.col("of_hash"), F.col("k2")).otherwise(F.col("k1"))
