@@ -20,6 +20,9 @@ from quire.llm import op7_fingerprints as op7
 from quire.llm import op8_minhash as op8
 from quire.llm import op9_suffix_arrays as op9
 from quire.llm import op10_url_filter as op10
+from quire.llm import op11_mixture as op11
+from quire.llm import op12_fill_in_middle as op12
+
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -202,3 +205,55 @@ select b.page_id, host, path, rule, coalesce(verdict, 'allow') verdict from b le
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
     return op10.filter_urls(table(spark, sf_dir, "pages", "page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query(
+    "op12_fill_in_middle",
+    """
+with d as (select doc_id, coalesce(text, '') t, cast(length(coalesce(text, '')) as bigint) n, sha256('1:' || cast(doc_id as varchar)) x from documents),
+h as (select doc_id, t, n, cast('0x' || substr(x, 1, 8) as bigint) % (n + 1) a, cast('0x' || substr(x, 9, 8) as bigint) % (n + 1) b,
+             cast('0x' || substr(x, 17, 8) as bigint) % 100 c, cast('0x' || substr(x, 25, 8) as bigint) % 100 e from d),
+f as (select doc_id, t, n, least(a, b) i, greatest(a, b) j,
+             case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or c >= 90 then 'plain' when e < 20 then 'spm' else 'psm' end form from h),
+p as (select *, substr(t, 1, i) pre, substr(t, i + 1, j - i) mid, substr(t, j + 1) suf from f)
+select doc_id, n, form, case when form <> 'plain' then i end prefix_chars, case when form <> 'plain' then j - i end middle_chars,
+       sha256(case form when 'plain' then t when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid else '<S>' || suf || '<P>' || pre || '<M>' || mid end) output_sha256,
+       sha256(t) restored_sha256
+from p""",
+)
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = op12.transform(table(spark, sf_dir, "documents", "doc_id", "text"))
+    again = op12.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha("output").alias("output_sha256"), F.sha2(again.cast("binary"), 256).alias("restored_sha256"))
+
+
+@query(
+    "op11_mixture",
+    r"""
+with recursive d as (select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) size,
+                            cast('0x' || substr(md5('1:' || cast(doc_id as varchar)), 1, 15) as bigint) x from documents),
+s as (select source, row_number() over (order by source nulls last) - 1 rank, cast(sum(size) as bigint) source_size, cast(ceil(count(*) / 65536) as bigint) shards from d group by source),
+w as (select *, case rank % 3 when 0 then 5.0 when 1 then 2.0 else 1.0 end weight, cast(3 * source_size as double) lim, cast(sum(source_size) over () as double) goal from s),
+v as (select *, (goal - coalesce(sum(lim) over (order by lim / cast(weight as double), rank rows between unbounded preceding and 1 preceding), 0.0))
+                / cast(sum(weight) over (order by lim / cast(weight as double), rank rows between current row and unbounded following) as double) lev from w),
+u as (select arg_min(lev, row(lim / cast(weight as double), rank)) filter (where lev * cast(weight as double) <= lim) lev from v),
+t as (select source, rank, source_size, shards, goal, coalesce(least(lim, u.lev * cast(weight as double)), lim) target from v, u),
+b as (select greatest(1, least(1024, cast(max(goal) as bigint) // 1048576)) b, cast(floor(max(goal) / greatest(1, least(1024, cast(max(goal) as bigint) // 1048576)) + 0.5) as bigint) seats from t),
+q as (select rank, count(*) n from (select rank, row_number() over (order by target / cast(2 * k + 1 as double) desc, rank, k) p
+      from (select rank, target, unnest(range(0, cast(target / b as bigint) + 3)) k from t, b)), b where p <= seats group by rank),
+l as (select d.*, t.rank, source_size, target, x % shards shard from d join t on d.source is not distinct from t.source),
+h as (select rank, shard, cast(sum(size) as bigint) words, case when sum(size) > 0 then greatest(1, cast(round(cast(sum(size) as double) / max(b)) as bigint)) else 0 end blocks from l, b group by rank, shard),
+r as (select rank, shard, count(*) n from (select rank, shard, n, row_number() over (partition by rank order by cast(words as double) / cast(2 * k + 1 as double) desc, shard, k) p
+      from (select h.rank, shard, words, n, unnest(range(0, n)) k from h join q on q.rank = h.rank)) where p <= n group by rank, shard),
+g as (select h.rank, h.shard, words, blocks, least(coalesce(n, 0), 3 * blocks) quota from h left join r on r.rank = h.rank and r.shard = h.shard),
+e as (select *, unnest(range(0, blocks)) i from g where blocks > 0),
+f as (select rank, shard, i * words // blocks lo, (i + 1) * words // blocks hi,
+             quota // blocks + case when row_number() over (partition by rank, shard order by cast('0x' || substr(md5('1:block:' || rank || ':' || shard || ':' || i), 1, 15) as bigint), i) <= quota % blocks then 1 else 0 end times from e),
+a as (select *, cast(coalesce(sum(size) over (partition by rank, shard order by x, doc_id, size rows between unbounded preceding and 1 preceding), 0) as bigint) pos from l),
+z as (select a.rank, a.shard, pos, sum((least(hi, pos + size) - greatest(lo, pos)) * times) taken from a join f on f.rank = a.rank and f.shard = a.shard and lo < pos + size and hi > pos where size > 0 group by 1, 2, 3)
+select doc_id, size, source_size, target, cast(coalesce(taken, 0) as bigint) taken
+from a left join z on z.rank = a.rank and z.shard = a.shard and z.pos = a.pos and size > 0""",
+)
+def op11_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = op11.mix(spark, table(spark, sf_dir, "documents", "doc_id", "text", "source"))
+    return made.select("doc_id", "size", "source_size", "target", "taken")
