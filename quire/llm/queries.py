@@ -22,6 +22,7 @@ from quire.llm import op9_suffix_arrays as op9
 from quire.llm import op10_url_filter as op10
 from quire.llm import op11_mixture as op11
 from quire.llm import op12_fill_in_middle as op12
+from quire.llm import op13_ranked_search as op13
 
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -257,3 +258,26 @@ from a left join z on z.rank = a.rank and z.shard = a.shard and z.pos = a.pos an
 def op11_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = op11.mix(spark, table(spark, sf_dir, "documents", "doc_id", "text", "source"))
     return made.select("doc_id", "size", "source_size", "target", "taken")
+
+
+TERM_SQL = r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'"
+
+
+@query(
+    "op13_ranked_search",
+    f"""
+with d as (select doc_id, regexp_extract_all({LOWER_SQL}, {TERM_SQL}) w from documents),
+g as (select cast(count(*) as bigint) n_docs, cast(sum(len(w)) as bigint) total from d where len(w) > 0),
+p as (select doc_id, t, any_value(n) n, count(*) tf from (select doc_id, cast(len(w) as bigint) n, unnest(w) t from d) group by doc_id, t),
+f as (select t, cast(count(*) as bigint) df from p group by t),
+q as (select item_id, t, count(*) times from (select item_id, unnest(regexp_extract_all({LOWER_SQL}, {TERM_SQL})) t from benchmark) group by item_id, t),
+s as (select item_id, doc_id, cast(sum(times * cast(floor(1000 * ln(cast(2 * n_docs + 2 as double) / cast(2 * df + 1 as double))) as bigint)
+             * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // total)))) as bigint) score
+      from q join f using (t) join p using (t), g group by item_id, doc_id)
+select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as int) rank, doc_id, score from s where score > 0
+qualify row_number() over (partition by item_id order by score desc, doc_id) <= 10""",
+)
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = op13.index_path(spark)
+    op13.write_index(spark, table(spark, sf_dir, "documents", "doc_id", "text"), path)
+    return op13.search(spark, path, table(spark, sf_dir, "benchmark", "item_id", "text"))
