@@ -7,7 +7,7 @@ memory follows the longest text and not the batch.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from quire.sources.tables import materialize, work_dir  # noqa: F401
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 NO_ID = -(1 << 63)
 U64 = np.uint64
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -69,22 +69,26 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
-def append(df: DataFrame, fn: Callable[[pa.RecordBatch], list[pa.Array]], fields: list[tuple[str, str]], text: str = "text", limit: int = SLICE_BYTES) -> DataFrame:
-    """``df`` with further columns that ``fn`` makes of each slice of rows. Columns of ``df``
-    with the same names are replaced."""
-    new = [T.StructField(n, T._parse_datatype_string(t)) for n, t in fields]
-    base = df.drop(*[n for n, _ in fields])
-    schema = T.StructType([*base.schema.fields, *new])
-    names = schema.names
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            off = sizes(column(batch, text))
-            for i, j in cuts(off, limit):
-                part = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([*part.columns, *fn(part)], names)
-
-    return base.mapInArrow(run, schema)
+def append(df: DataFrame, fn: Callable[[pa.RecordBatch], list[pa.Array]], fields: list[tuple[str, str]], text: str = "text", limit: int = SLICE_BYTES, more: Sequence[str] = ()) -> DataFrame:
+    """``df`` with further columns that ``fn`` makes of each slice of rows. Only ``text``, by
+    which slices are measured, and the columns of ``more`` go to Python, and only the new ones
+    come back; all others stay in the JVM. Columns of ``df`` with the same names are replaced."""
+    kind = T.StructType([T.StructField(n, T._parse_datatype_string(t)) for n, t in fields])
+    needed, held = [text, *more], "__made"
+    while held in df.columns:
+        held += "_"
+
+    @F.arrow_udf(kind)
+    def made(*columns: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays(list(columns), needed)
+        parts = []
+        for i, j in cuts(sizes(columns[0]), limit):
+            parts.append(pa.StructArray.from_arrays(fn(batch.slice(i, j - i)), names=kind.names))
+        pa.default_memory_pool().release_unused()
+        return pa.concat_arrays(parts)
+
+    out = df.withColumn(held, made(*[F.col(f"`{c}`") for c in needed]))
+    return out.select(*[F.col(f"`{c}`") for c in df.columns if c not in kind.names], *[F.col(held)[n].alias(n) for n in kind.names])
 
 
 def blocks(batches: Iterator[pa.RecordBatch], limit: int, text: str = "text") -> Iterator[tuple[int, pa.Table]]:

@@ -167,5 +167,5 @@ def judge(pages: DataFrame, shared) -> DataFrame:
                 best[r], verdict[r] = i, "block" if block else "allow"
         return [pa.array(best, pa.int32()), pa.array(verdict, pa.string())]
 
-    out = append(pages, fn, [("_best2", "int"), ("_verdict2", "string")], "url")
+    out = append(pages, fn, [("_best2", "int"), ("_verdict2", "string")], "_hashes", more=("_best", "_verdict"))
     return out.drop("_best", "_verdict").withColumnsRenamed({"_best2": "_best", "_verdict2": "_verdict"})

@@ -161,7 +161,7 @@ def search_block(docs: DataFrame, shared) -> DataFrame:
         ]
 
     out = docs.withColumns({c: F.lit(None).cast(t) for c, t in (("_spans", SPANS), ("_items", "array<string>")) if c not in docs.columns})
-    out = append(out, fn, [("hit_spans", SPANS), ("hit_items", "array<string>"), ("n_words", "bigint"), ("n_hit", "bigint")])
+    out = append(out, fn, [("hit_spans", SPANS), ("hit_items", "array<string>"), ("n_words", "bigint"), ("n_hit", "bigint")], more=("_spans", "_items"))
     return out.drop("_spans", "_items")
 
 

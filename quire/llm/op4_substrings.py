@@ -172,4 +172,4 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, key: str = "doc_id", tex
             kept.append(b" ".join(pieces[i:j]))
         return [pa.array(n, pa.int64()), pa.array(lost[first[1:]] - lost[first[:-1]], pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
 
-    return append(joined, fn, [("n_words", "bigint"), ("n_removed", "bigint"), ("kept", "string")], text)
+    return append(joined, fn, [("n_words", "bigint"), ("n_removed", "bigint"), ("kept", "string")], text, more=("removed",))

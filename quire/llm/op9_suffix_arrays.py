@@ -568,4 +568,4 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, key: str = "doc_id", tex
             lost.append(gone)
         return [pa.array(np.diff(off), pa.int64()), pa.array(lost, pa.int64()), pa.array(kept, pa.string() if as_text else pa.binary())]
 
-    return append(joined, fn, [("n_bytes", "bigint"), ("n_removed", "bigint"), ("kept", "string" if as_text else "binary")], text).drop("_id", "_hash")
+    return append(joined, fn, [("n_bytes", "bigint"), ("n_removed", "bigint"), ("kept", "string" if as_text else "binary")], text, more=("removed",)).drop("_id", "_hash")
