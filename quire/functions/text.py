@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quire.functions import markup
+from quire.functions.entities import decode_entities
 from quire.functions.regex import bind, count_matches, strip, substitute
 
 # --- fixed values: patterns that decide results ------------------------------------
@@ -35,56 +37,6 @@ WORD_MARKS = r"[#*_\[\]()>`~-]"
 # a text without any of these has no word mark and no step above changes it
 MARKS_PRESENT = r"[`#*_\[\]<>+()~-]|\n\n\n|\d\."
 
-HTML_CLEAN = [
-    (r"(?is)<script\b.*?</script\s*>", ""),
-    (r"(?is)<style\b.*?</style\s*>", ""),
-    (r"(?i)</?(?:meta|link)\b[^>]*>", ""),
-    (r"(?i)<img\b[^>]*>", ""),
-    (r"(?i)<(?:div|span)\b[^>]*>\s*</(?:div|span)>", ""),
-    (r"(?i)<(?:div|span)\b[^>]*>\s*</(?:div|span)>", ""),
-    (r"""(?i)(<[a-z][^>]*?)\s(?:style|class)\s*=\s*(?:"[^"]*"|'[^']*')""", "$1"),
-    (r"""(?i)(<[a-z][^>]*?)\s(?:style|class)\s*=\s*(?:"[^"]*"|'[^']*')""", "$1"),
-    (r">\s+<", "><"),
-]
-
-# A tag directly inside the same tag is unwrapped; empty emphasis is dropped.
-EMPHASIS_CLEAN = [
-    *[
-        step
-        for t in ["b", "i", "em", "strong"]
-        for step in [(rf"(?i)<{t}>\s*<{t}>", f"<{t}>"), (rf"(?i)</{t}>\s*</{t}>", f"</{t}>")]
-    ],
-    *[(rf"(?i)<{t}>\s*</{t}>", "") for t in ["b", "i", "em", "strong", "u", "strike"]],
-]
-
-HTML_TO_MARKDOWN = [
-    (r"(?s)<!--.*?-->", ""),
-    (r"(?i)<!doctype[^>]*>", ""),
-    (r"(?is)<head\b.*?</head\s*>", ""),
-    (r"\s+", " "),
-    *[(rf"(?is)<h{n}\b[^>]*>(.*?)</h{n}\s*>", "\n\n" + "#" * n + " $1\n\n") for n in range(1, 7)],
-    (r"(?i)<li\b[^>]*>\s*", "\n- "),
-    (r"(?i)</li\s*>", ""),
-    (r"(?i)</?(?:b|strong)(?:\s[^>]*)?>", "**"),
-    (r"(?i)</?(?:i|em)(?:\s[^>]*)?>", "*"),
-    (r"""(?is)<a\b[^>]*?\shref\s*=\s*"([^"]*)"[^>]*>(.*?)</a\s*>""", "[$2]($1)"),
-    (r"(?i)<br\s*/?>", "  \n"),
-    (r"(?i)<hr\b[^>]*>", "\n\n* * *\n\n"),
-    (
-        r"(?i)</?(?:p|div|section|article|ul|ol|table|tr|blockquote|header|footer|nav|aside|main|body|html|pre)\b[^>]*>",
-        "\n\n",
-    ),
-    (r"<[^>]+>", ""),
-]
-
-ENTITIES = [
-    ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"),
-    ("&copy;", "©"), ("&middot;", "·"), ("&ndash;", "–"), ("&mdash;", "—"), ("&hellip;", "…"),
-    ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"), ("&amp;", "&"),
-]
-
-PARAGRAPH_TIDY = [(r"\n +", "\n"), (r"\n{3,}", "\n\n")]
-
 TIDY_START = [
     (r"\n{3,}", "\n\n"),
     (r"(?md)[^\S\n]+$", ""),
@@ -128,42 +80,16 @@ def markdown_strip(c: Column) -> Column:
 
 
 def html_clean(c: Column) -> Column:
-    return substitute(c, HTML_CLEAN)
+    return bind(c, markup.clean)
 
 
 def html_emphasis_clean(c: Column) -> Column:
-    return substitute(c, EMPHASIS_CLEAN)
-
-
-def decode_entities(c: Column) -> Column:
-    for name, value in ENTITIES:
-        c = F.replace(c, F.lit(name), F.lit(value))
-    return c
-
-
-def decode_numeric_entities(c: Column) -> Column:
-    """Replace &#NNN; with its character; text without such forms takes the first branch."""
-
-    def decode(x: Column, i: Column) -> Column:
-        code = F.regexp_extract(x, r"^(\d{1,7});", 1)
-        char = F.decode(F.unhex(F.lpad(F.hex(code.cast("bigint")), 8, "0")), "UTF-32")
-        plain = F.when(i == 0, x).otherwise(F.concat(F.lit("&#"), x))
-        return F.when((i == 0) | (code == ""), plain).otherwise(
-            F.concat(char, F.regexp_replace(x, r"^\d{1,7};", ""))
-        )
-
-    return bind(
-        c,
-        lambda t: F.when(~F.contains(t, F.lit("&#")), t).otherwise(
-            F.array_join(F.transform(F.split(t, "&#"), decode), "")
-        ),
-    )
+    return bind(c, markup.emphasis)
 
 
 def html_body_to_markdown(c: Column) -> Column:
-    """Tags to Markdown marks; input is cleaned HTML."""
-    md = decode_numeric_entities(decode_entities(substitute(c, HTML_TO_MARKDOWN)))
-    return strip(substitute(md, PARAGRAPH_TIDY))
+    """Markdown of cleaned HTML."""
+    return bind(c, markup.render)
 
 
 def link_tidy(c: Column) -> Column:
@@ -229,7 +155,7 @@ def html_plain_text(c: Column) -> Column:
             (r"<[^>]+>", ""),
         ],
     )
-    c = decode_numeric_entities(decode_entities(c))
+    c = decode_entities(c)
     blocks = F.filter(F.split(c, BLOCK_END), lambda b: b.startswith(BLOCK_MARK))
     tidy = F.transform(
         blocks, lambda b: substitute(b, [(rf"^{BLOCK_MARK}(#{{1,6}} |- |)\s*", "$1"), (r"\s+$", "")])

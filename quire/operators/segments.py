@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.regex import strip, substitute
-from quire.functions.text import decode_entities
+from quire.functions import markup
+from quire.functions.entities import decode_entities
+from quire.functions.regex import bind, strip, substitute
 from quire.operators.scale import ordered_parts, with_neighbors, with_rank, with_running, with_totals
 from quire.sources.tables import materialize
 
@@ -15,10 +16,6 @@ PAGES_PER_SEGMENT = 30
 MIN_ANCHORS, MAX_ANCHORS, MIN_FILE_WORDS = 2, 10, 1000
 FALLBACK_WARNING = "No bookmarks or chapter headings detected. Using page-based splitting."
 CHAPTER_LINE = r"(?i)^(?:chapter\s+(?:\d+|[ivxlcdm]+)|part\s+(?:\d+|[ivxlcdm]+)|section\s+\d+|\d+\.\s+[A-Z])"
-NOT_CONTENT = [
-    *[(rf"(?is)<{t}\b.*?</{t}\s*>", "") for t in ["nav", "header", "footer", "aside"]],
-    (r"(?is)<(?:div|ul|ol|section)\b[^>]*(?:class|id)\s*=\s*\"[^\"]*(?:nav|menu|sidebar|toc|header|footer)[^\"]*\"[^>]*>.*?</(?:div|ul|ol|section)\s*>", ""),
-]
 GENERIC_TITLES = ["untitled", "chapter", "section"]
 SPLIT_NAME = r"(?i)(.+)_split_(\d+)\.x?html?$"
 MARK = "\u0001"
@@ -27,14 +24,9 @@ LINES_PER_PAGE = 1 << 32
 
 
 def heading_texts(html: Column, level: int) -> Column:
-    """Texts of the valid headings of a level, in order.
-
-    Not inside navigation or a header or footer block, two characters or more, not only digits.
-    """
-    body = substitute(html, NOT_CONTENT)
-    raw = F.regexp_extract_all(body, F.lit(rf"(?is)<h{level}\b[^>]*>(.*?)</h{level}\s*>"), F.lit(1))
-    texts = F.transform(raw, lambda x: strip(decode_entities(F.regexp_replace(x, r"<[^>]+>", ""))))
-    return F.filter(texts, lambda x: (F.length(x) >= 2) & ~x.rlike(r"^\d+$"))
+    """Texts of the valid headings of a level, in order."""
+    found = F.filter(bind(html, markup.headings), lambda h: h["level"] == level)
+    return F.transform(found, lambda h: h["heading"])
 
 
 def clean_title(c: Column) -> Column:
@@ -42,8 +34,14 @@ def clean_title(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(c, r"!\[[^\]]*\]\([^)]+\)", ""), r"\s+", " "))
 
 
+def _ranked(h: Column, i: Column) -> Column:
+    return F.struct(h["level"].alias("level"), i.alias("i"), h["heading"].alias("heading"))
+
+
 def page_title(html: Column, file_name: Column, toc: Column, item: Column, ordinal: Column) -> Column:
     """First usable title: table of contents, item, h1, h2, title tag, file name, ordinal."""
+    # an h1 before any h2, each in the order of the text
+    first = bind(bind(html, markup.headings), lambda found: F.array_min(F.filter(F.transform(found, _ranked), lambda h: h["level"] <= 2)))["heading"]
     tag = clean_title(decode_entities(F.regexp_extract(html, r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1)))
     stem = F.regexp_replace(file_name, r"\.[^.]*$", "")
     number = F.regexp_extract(stem, r"(?i)(?:ch(?:apter)?|part)?[_\-\s]*(\d+)", 1)
@@ -51,8 +49,7 @@ def page_title(html: Column, file_name: Column, toc: Column, item: Column, ordin
     return F.coalesce(
         F.nullif(toc, F.lit("")),
         F.nullif(item, F.lit("")),
-        clean_title(F.try_element_at(heading_texts(html, 1), F.lit(1))),
-        clean_title(F.try_element_at(heading_texts(html, 2), F.lit(1))),
+        clean_title(first),
         F.when((tag != "") & ~F.lower(tag).isin(GENERIC_TITLES), tag),
         F.when(number != "", F.concat(F.lit("Chapter "), number.cast("bigint").cast("string"))),
         F.when(words != "", F.initcap(words)),

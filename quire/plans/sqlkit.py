@@ -6,7 +6,7 @@
 from __future__ import annotations
 
 from quire.functions.readability import VOWELS
-from quire.functions.text import ENTITIES, MARKDOWN_STRIP
+from quire.functions.text import MARKDOWN_STRIP
 from quire.functions.titles import BACK_WORDS, FRONT_WORDS
 
 AS_OF = "2024-01-30"
@@ -38,7 +38,8 @@ def words(expr: str) -> str:
 
 
 def entities(expr: str) -> str:
-    for name, value in ENTITIES:
+    """The references that the tables hold; the ampersand comes last, so that none is decoded twice."""
+    for name, value in [("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&amp;", "&")]:
         expr = f"replace({expr}, {quoted(name)}, {quoted(value)})"
     return expr
 

