@@ -9,7 +9,7 @@ from quire.functions.payload import parse_rating
 from quire.functions.regex import strip
 from quire.functions.text import title_or_default
 from quire.operators.prompts import render
-from quire.operators.scale import PART_ROWS, latest_by, ordered_parts, with_rank, with_totals
+from quire.operators.scale import latest_by, ordered_parts, with_rank, with_totals
 from quire.schemas import RATING_CRITERIA
 from quire.sources.views import main_chapters, number_chapters
 
@@ -120,11 +120,11 @@ def best_worst(ratings: DataFrame) -> DataFrame:
     )
 
 
-def verdict_list(ratings: DataFrame) -> DataFrame:
+def verdict_list(ratings: DataFrame, extra: tuple[Column, ...] = ()) -> DataFrame:
     line = F.concat(
         F.lit("Chapter "), F.col("chapter_number").cast("string"), F.lit(": "), F.coalesce("verdict", F.lit("No verdict"))
     )
-    return ordered_parts(ratings, ["book_id"], "chapter_number", line, "verdicts", "\n")
+    return ordered_parts(ratings, ["book_id"], "chapter_number", line, "verdicts", "\n", extra=extra)
 
 
 def clean_verdict(c: Column) -> Column:
@@ -145,14 +145,13 @@ def aggregate_request(ratings: DataFrame) -> DataFrame:
     for c in RATING_CRITERIA:
         head = F.replace(head, F.lit("{" + c + "}"), F.col(c))
     head = F.replace(head, F.lit("{title}"), F.col("book_id"))
-    # head and tail meet one part each, so the joins are by (book, part) and not by book
+    # head and tail meet one part each, so the joins are by (book, part) and (book, last chapter)
     heads = averages.select("book_id", F.lit(0).alias("part"), head.alias("head"))
-    last = F.floor((F.max("chapter_number") - 1) / PART_ROWS).cast("int")
-    tails = ratings.groupBy("book_id").agg(last.alias("part")).withColumn("tail", F.lit(REQUEST_TAIL))
+    tails = ratings.groupBy("book_id").agg(F.max("chapter_number").alias("last")).withColumn("tail", F.lit(REQUEST_TAIL))
     return (
-        verdict_list(ratings)
+        verdict_list(ratings, (F.max("chapter_number").alias("last"),))
         .join(heads, ["book_id", "part"], "full_outer")
-        .join(tails, ["book_id", "part"], "left")
+        .join(tails, ["book_id", "last"], "left")
         .select(
             "book_id",
             "part",

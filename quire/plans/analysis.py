@@ -82,7 +82,7 @@ def best_worst(spark, root):
     return ops.best_worst(_ratings(spark, root))
 
 
-_VERDICTS = """vl as (select book_id, cast((chapter_number - 1) // 200 as int) as part,
+_VERDICTS = """vl as (select book_id, cast((chapter_number - 1) // 200 * 200 as int) as part,
   string_agg('Chapter ' || chapter_number || ': ' || coalesce(verdict, 'No verdict'), chr(10) order by chapter_number) as verdicts from ratings group by all)"""
 
 
@@ -130,7 +130,7 @@ def aggregate_request(spark, root):
 @query(
     "section_concat",
     S.cte("chapters")
-    + """select book_id, cast((chapter_number - 1) // 200 as int) as part, string_agg('## Chapter ' || chapter_number ||
+    + """select book_id, cast((chapter_number - 1) // 200 * 200 as int) as part, string_agg('## Chapter ' || chapter_number ||
     case when coalesce(title, '') <> '' then ': ' || title else '' end || chr(10) || chr(10) || content,
     chr(10) || chr(10) || '---' || chr(10) || chr(10) order by chapter_number) as text from chapters where not is_front_matter and not is_back_matter group by all""",
 )
@@ -142,7 +142,7 @@ def section_concat(spark, root):
     "book_concat",
     S.cte("chapters")
     + f"""select b.book_id, coalesce(part, 0) as part, coalesce(text, '') as text from (select distinct book_id from chapters) b
-    left join (select book_id, cast((chapter_number - 1) // 200 as int) as part, string_agg('# ' || {S.shown_title()} || chr(10) || chr(10) || content || chr(10) || chr(10), chr(10) order by chapter_number) as text
+    left join (select book_id, cast((chapter_number - 1) // 200 * 200 as int) as part, string_agg('# ' || {S.shown_title()} || chr(10) || chr(10) || content || chr(10) || chr(10), chr(10) order by chapter_number) as text
       from chapters where not is_front_matter and not is_back_matter group by all) t on t.book_id = b.book_id""",
 )
 def book_concat(spark, root):
@@ -170,7 +170,7 @@ def section_extract(spark, root):
 @query(
     "section_group",
     S.cte("section_texts", "chapters", extra=_SECTIONS)
-    + f"""select s.book_id, section_order, (['{"', '".join(h for _, _, h in ops.SECTIONS)}'])[section_order + 1] as header, cast((chapter_number - 1) // 200 as int) as part,
+    + f"""select s.book_id, section_order, (['{"', '".join(h for _, _, h in ops.SECTIONS)}'])[section_order + 1] as header, cast((chapter_number - 1) // 200 * 200 as int) as part,
     string_agg('*From Chapter ' || chapter_number || ': ' || {S.shown_title()} || '*' || chr(10) || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by chapter_number) as items
     from sections s join (select chapter_id, chapter_number, title from chapters) c using (chapter_id) group by all""",
 )
@@ -183,7 +183,7 @@ def section_group(spark, root):
 @query(
     "extraction_concat",
     S.cte("section_texts", "chapters", extra=_SECTIONS)
-    + f"""select book_id, cast((chapter_number - 1) // 200 as int) as part, string_agg('## Chapter ' || chapter_number || case when coalesce(title, '') <> '' then ': ' || title else '' end || chr(10) || chr(10) || text,
+    + f"""select book_id, cast((chapter_number - 1) // 200 * 200 as int) as part, string_agg('## Chapter ' || chapter_number || case when coalesce(title, '') <> '' then ': ' || title else '' end || chr(10) || chr(10) || text,
       chr(10) || chr(10) || '---' || chr(10) || chr(10) order by chapter_number) as text, max(n) as chapters_included, 'concatenated_references' as prompt_name, 'concatenation' as model, 0 as tokens, cast(0 as decimal(10,6)) as cost
     from (select s.book_id, chapter_number, title, text, count(*) over (partition by s.book_id) as n from sections s join (select chapter_id, chapter_number, title from chapters) c using (chapter_id) where section = 'people') group by all""",
 )
@@ -293,7 +293,7 @@ def resume_sources(spark, root):
 @query(
     "resume_text",
     S.cte("chapters", "latest")
-    + f""", {_TEXTS}, {_BEFORE}, {_STORY} select book_id, cast((chapter_number - 1) // 200 as int) as part,
+    + f""", {_TEXTS}, {_BEFORE}, {_STORY} select book_id, cast((chapter_number - 1) // 200 * 200 as int) as part,
     string_agg('## Chapter ' || chapter_number || ': ' || shown_title || chr(10) || story || chr(10), chr(10) order by chapter_number) as text from st group by all""",
 )
 def resume_text(spark, root):
@@ -303,7 +303,7 @@ def resume_text(spark, root):
 @query(
     "resume_characters",
     S.cte("chapters", "latest")
-    + f""", {_TEXTS}, {_BEFORE} select book_id, cast((chapter_number - 1) // 200 as int) as part,
+    + f""", {_TEXTS}, {_BEFORE} select book_id, cast((chapter_number - 1) // 200 * 200 as int) as part,
     '[' || string_agg('{{"chapter_number":' || chapter_number || ',"data":"' || extract || '"}}', ',' order by chapter_number) || ']' as sources
     from bf join tx using (chapter_id) where extract is not null group by all""",
 )
@@ -447,7 +447,7 @@ def batch_outcome(spark, root):
 @query(
     "job_errors",
     S.cte("calls")
-    + """select budget_key, day, cast((n - 1) // 200 as int) as part, string_agg('call ' || call_id || ': failed', '; ' order by call_id) as errors, 'completed' as status, 100 as percent
+    + """select budget_key, day, cast((n - 1) // 200 * 200 as int) as part, string_agg('call ' || call_id || ': failed', '; ' order by call_id) as errors, 'completed' as status, 100 as percent
     from (select *, row_number() over (partition by budget_key, day order by call_id) as n from calls where status = 'failed') group by all""",
 )
 def job_errors(spark, root):

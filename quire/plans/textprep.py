@@ -470,7 +470,7 @@ def segment_strategy(spark, root):
 @query(
     "range_text",
     S.cte("bookmarks", "book_pages")
-    + f""", {_COUNTS}, {_MARKS} select br.book_id, start_page as range_no, cast((page - 1) // 200 as int) as part, string_agg(text, chr(10) || chr(10) order by page) as text
+    + f""", {_COUNTS}, {_MARKS} select br.book_id, start_page as range_no, cast((page - 1) // 200 * 200 as int) as part, string_agg(text, chr(10) || chr(10) order by page) as text
     from br join book_pages p on p.book_id = br.book_id and page between start_page and end_page group by all""",
 )
 def range_text(spark, root):

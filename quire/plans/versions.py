@@ -137,7 +137,7 @@ def summary_count(spark, root):
     "grouped_versions",
     S.cte("texts")
     + r"""select item_id, prompt_name, case when prompt_name = 'user' then 0 else 1 end as prompt_order,
-    upper(prompt_name[1]) || prompt_name[2:] as prompt_display, cast((version - 1) // 200 as int) as part,
+    upper(prompt_name[1]) || prompt_name[2:] as prompt_display, cast((version - 1) // 200 * 200 as int) as part,
     string_agg('v' || version || ': ' || body, chr(10) order by version desc) as entries from texts group by all""",
 )
 def grouped_versions(spark, root):
