@@ -8,7 +8,7 @@ in the index, nothing else is touched.
 
 Units are counted over the whole corpus; the most frequent (at most DICTIONARY_UNITS) are
 merged in Spark and broadcast. The others are merged by the same replay over the distinct units
-of each slice of texts, so nothing is left out and memory is bounded.
+of each slice of texts (SLICE_BYTES), so nothing is left out and memory is bounded.
 
 Null and empty texts have no tokens. Rows are encoded by themselves: repeated rows and null ids
 get the same answer each. An empty table gives no rows. Input columns named like the result's
@@ -28,11 +28,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import append, column, cuts, lists, materialize, sizes, text_bytes
+from quire.llm.common import append, column, cuts, lists, materialize, sizes, table_column, text_bytes, word_hashes
 
 DICTIONARY_UNITS = 1 << 18
 UNIT_BYTES = 16 << 20
-SLICE_BYTES = 16 << 20
+COUNTS = 1 << 16
+SLICE_BYTES = 2 << 20
 
 # ---------------------------------------------------------------- units
 
@@ -239,9 +240,10 @@ def count_units(docs: DataFrame, text: str = "text") -> DataFrame:
 def frequent_units(docs: DataFrame, path: str, pattern: str, limit: int, text: str = "text") -> DataFrame:
     """unit, ids: the most frequent units of the corpus, ``limit`` and UNIT_BYTES at most, encoded."""
     units = materialize(docs.sparkSession, count_units(docs, text).where("n > 1"), "bpe-units")
-    sizes = units.groupBy("n").agg(F.count("*").alias("k"), F.sum(F.octet_length("unit")).alias("bytes")).orderBy(F.desc("n")).limit(1 << 16).collect()
+    # by the COUNTS greatest counts that occur, so that what comes to the driver is bounded
+    counts = units.groupBy("n").agg(F.count("*").alias("k"), F.sum(F.octet_length("unit")).alias("bytes")).orderBy(F.desc("n")).limit(COUNTS).collect()
     least, k, size = 1 << 62, 0, 0
-    for r in sizes:
+    for r in counts:
         k, size = k + r.k, size + r.bytes
         if k > limit or size > UNIT_BYTES:
             break
@@ -255,19 +257,45 @@ def frequent_units(docs: DataFrame, path: str, pattern: str, limit: int, text: s
     return units.where(F.col("n") >= least).select("unit").mapInArrow(run, "unit binary, ids array<int>")
 
 
-class Dictionary:
-    def __init__(self, units: list[bytes], ids: list[list[int]]) -> None:
-        self.number = {u: k for k, u in enumerate(units)}
-        self.first = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)
-        self.ids = np.array([y for x in ids for y in x], np.int32)
+def hashes_of(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+    return word_hashes(buf, off[:-1], off[1:])
+
 
-    def encode(self, units: list[bytes], rest) -> tuple[np.ndarray, np.ndarray]:
+class Dictionary:
+    """Units and their tokens as arrays, found by hash and compared byte by byte."""
+
+    def __init__(self, units: pa.Array, ids: pa.Array) -> None:
+        buf, off = text_bytes(units)
+        hashes = hashes_of(buf, off)
+        order = np.argsort(hashes)
+        self.hashes = hashes[order]
+        self.buf, size = gather(buf, off, order)
+        self.off = np.concatenate([[0], np.cumsum(size)])
+        first = sizes(ids)
+        self.ids, size = gather(ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32), first, order)
+        self.first = np.concatenate([[0], np.cumsum(size)])
+
+    def find(self, units: pa.Array) -> np.ndarray:
+        """The place of each unit in here, -1 for others."""
+        known = np.full(len(units), -1, np.int64)
+        if not len(self.hashes) or not len(units):
+            return known
+        buf, off = text_bytes(units)
+        at = np.minimum(np.searchsorted(self.hashes, hashes_of(buf, off)), len(self.hashes) - 1)
+        alike = np.flatnonzero(np.diff(off) == np.diff(self.off)[at])
+        if len(alike):
+            mine, size = gather(self.buf, self.off, at[alike])
+            differ = mine != gather(buf, off, alike)[0]
+            same = np.add.reduceat(differ, np.cumsum(size) - size) == 0  # a unit has a byte at least
+            known[alike[same]] = at[alike[same]]
+        return known
+
+    def encode(self, units: pa.Array, rest) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of all units, and where each begins; ``rest`` encodes those not in here."""
-        known = np.array([self.number.get(u, -1) for u in units], np.int64)
-        others = np.flatnonzero(known < 0)
-        ids, first = rest([units[k] for k in others.tolist()])
+        known = self.find(units)
+        others, mine = np.flatnonzero(known < 0), np.flatnonzero(known >= 0)
+        ids, first = rest(units.take(pa.array(others)).to_pylist())
         size = np.empty(len(units), np.int64)
-        mine = np.flatnonzero(known >= 0)
         size[others], size[mine] = np.diff(first), np.diff(self.first)[known[mine]]
         start = np.concatenate([[0], np.cumsum(size)])
         flat = np.empty(start[-1], np.int32)
@@ -289,13 +317,15 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", limit:
     """``docs`` with ids and n_tokens by the ranks in the file ``path``; the file must be at
     that place on every executor."""
     spark: SparkSession = docs.sparkSession
-    rows = frequent_units(docs, path, pattern, limit, text).collect()  # at most ``limit`` short units
-    shared = spark.sparkContext.broadcast(Dictionary([bytes(r.unit) for r in rows], [r.ids for r in rows]))
+    rows = frequent_units(docs, path, pattern, limit, text).toArrow()  # at most ``limit`` short units
+    shared = spark.sparkContext.broadcast(Dictionary(table_column(rows, "unit"), table_column(rows, "ids")))
 
     def fn(part: pa.RecordBatch) -> list[pa.Array]:
-        buf, off = text_bytes(column(part, text))
-        ids, first = text_ids(buf, off, lambda units: shared.value.encode(units, lambda rest: encode_units(rest, vocabulary(path), pattern)))
-        return [lists(pa.array(ids), first), pa.array(np.diff(first))]
+        codes, units, first = coded(*text_bytes(column(part, text)))
+        ids, start = shared.value.encode(units, lambda rest: encode_units(rest, vocabulary(path), pattern))
+        values, size = gather(ids, start, codes)
+        first = np.concatenate([[0], np.cumsum(size)])[first]
+        return [lists(pa.array(values), first), pa.array(np.diff(first))]
 
     return append(docs, fn, [("ids", "array<int>"), ("n_tokens", "bigint")], text, SLICE_BYTES)
 
@@ -315,4 +345,4 @@ def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
         data = np.concatenate(out) if out else np.zeros(0, np.uint8)
         return [pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(values), [None, pa.py_buffer(length.astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())]
 
-    return append(df, fn, [("decoded", "binary")], ids, 4 << 20)
+    return append(df, fn, [("decoded", "binary")], ids, SLICE_BYTES // 4)
