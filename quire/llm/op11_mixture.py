@@ -148,7 +148,8 @@ def mix(
     laid = laid.where("size > 0").join(shards.select("rank", "shard", "_words", "_blocks"), ["rank", "shard"])
     # block i begins at word i * words div blocks
     first, last = F.expr("((_at + 1) * _blocks - 1) div _words"), F.expr("((_at + size) * _blocks - 1) div _words")
-    pieces = laid.withColumn("block", F.explode(F.sequence(first, last))).join(selected(shards, seed), ["rank", "shard", "block"])
+    # merged, not broadcast: Spark's size estimate is that of the shards, before they become blocks
+    pieces = laid.withColumn("block", F.explode(F.sequence(first, last))).join(selected(shards, seed).hint("merge"), ["rank", "shard", "block"])
     start, end = F.greatest(F.col("_from") - F.col("_at"), F.lit(0)), F.least(F.col("_to") - F.col("_at"), F.col("size"))
     span = F.when(F.col("times") > 0, F.struct(start.alias("start"), end.alias("end"), F.col("times")))
     full = pieces.groupBy("rank", "_at", *result).agg(F.array_sort(F.collect_list(span)).alias("spans")).select(*result, "spans")
