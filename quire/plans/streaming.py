@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quire.operators.cost import Settings
 from quire.plans import sqlkit as S
 from quire.plans.registry import query
+from quire.sources.tables import text_stream
 from quire.sources.views import jobs
 from quire.streaming import jobs as ops
 
@@ -18,12 +19,19 @@ def stream_usage_daily(spark, root):
 
 @query("stream_job_progress", S.cte("jobs") + "select budget_key, day, total, done, done >= total as ready from jobs where done > 0")
 def stream_job_progress(spark, root):
-    """Finished calls are kept once each although some arrive twice; the jobs are counted from them."""
-    finished = ops.run_rows(ops.finished_once(ops.delivered_twice(ops.call_stream(spark, root))), "finished")
-    done = finished.groupBy("budget_key", "day").agg(F.count("*").alias("done"))
-    return done.join(jobs(spark, root).select("budget_key", "day", "total"), ["budget_key", "day"]).select(
-        "budget_key", "day", "total", "done", (F.col("done") >= F.col("total")).alias("ready")
-    )
+    """The last event of each job; a job is ready once one of its events said so."""
+    totals = jobs(spark, root).select("budget_key", "day", "total")
+    events = ops.run_rows(ops.job_events(ops.call_stream(spark, root), totals), "job-events")
+    return events.groupBy("budget_key", "day").agg(F.max("total").alias("total"), F.max("done").alias("done"), F.bool_or("ready").alias("ready"))
+
+
+@query(
+    "stream_scan_pages",
+    r"select regexp_extract(url, '^https?://([^/?#]+)', 1) as host, count(*) as pages, cast(sum(strlen(html)) as bigint) as bytes from pages group by 1",
+)
+def stream_scan_pages(spark, root):
+    """The scan of raw pages as files arrive."""
+    return ops.changed_rows(ops.pages_by_host(text_stream(spark, root, "pages", "page_id")), ["host"], "pages")
 
 
 @query(
