@@ -2,23 +2,28 @@
 
 from __future__ import annotations
 
+import re
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import markup
 from quire.functions.entities import decode_entities
 from quire.functions.regex import bind, strip, substitute
-from quire.operators.scale import ordered_parts, with_neighbors, with_rank, with_running, with_totals
+from quire.operators.scale import RANGES, ordered_parts, with_neighbors, with_rank, with_running, with_totals
 from quire.sources.tables import materialize
 
 # Fixed values.
 PAGES_PER_SEGMENT = 30
+PAGES_PER_BLOCK = 64
 MIN_ANCHORS, MAX_ANCHORS, MIN_FILE_WORDS = 2, 10, 1000
 FALLBACK_WARNING = "No bookmarks or chapter headings detected. Using page-based splitting."
 CHAPTER_LINE = r"(?i)^(?:chapter\s+(?:\d+|[ivxlcdm]+)|part\s+(?:\d+|[ivxlcdm]+)|section\s+\d+|\d+\.\s+[A-Z])"
 GENERIC_TITLES = ["untitled", "chapter", "section"]
 SPLIT_NAME = r"(?i)(.+)_split_(\d+)\.x?html?$"
 MARK = "\u0001"
+QUOTED = r"""(?:"[^"]*"|'[^']*'|[^\s"'>]+)"""
 # (page, line) as one ordered key: a text has less than 2^31 bytes, so no page reaches this many lines
 LINES_PER_PAGE = 1 << 32
 
@@ -89,33 +94,67 @@ def file_titles(entries: DataFrame, key: str) -> DataFrame:
     return entries.groupBy(key, "file").agg(F.min_by("title", "pos").alias("title"))
 
 
-def anchor_pieces(html: Column) -> Column:
-    """Document cut before each element that carries an anchor id; the first piece is what stands before."""
-    marked = F.regexp_replace(html, r'(<[a-zA-Z][a-zA-Z0-9]*\b[^>]*\bid="a\d+"[^>]*>)', f"{MARK}$1")
-    return F.split(marked, MARK)
+def element_pieces(html: Column) -> Column:
+    """Document cut before each element with an id, as (id, text); the first piece, without an
+    id, is what stands before them."""
+    marked = F.regexp_replace(html, rf"(?i)(<[a-z][a-z0-9]*\b[^>]*\sid\s*=\s*{QUOTED}[^>]*>)", f"{MARK}$1")
+    return F.transform(F.split(marked, MARK), lambda x, i: F.struct(F.when(i > 0, markup.attribute(x, "id")).alias("id"), x.alias("text")))
+
 
+def listed_anchors(files: DataFrame, entries: DataFrame, key: str) -> DataFrame:
+    """Where the listed anchors of a file stand: (key, file, first_title, cuts) with cuts an array
+    of (seq, anchor, title, first, next), the numbers of the pieces where an interval begins and
+    ends; null where none is there. Only files that may be cut have a row.
 
-def anchor_split(files: DataFrame, key: str) -> DataFrame:
-    """Files with 2 to 10 anchors and 1000 rough words become one row per anchor, others stay whole."""
+    ``entries`` are flat (``toc_entries``); anchors of the top level count, in their order there.
+    An anchor begins at the first element with its id; it ends at that of the next found anchor
+    if that stands behind it, else with the file. Ids meet the entries by an equi-join, without
+    the texts.
+    """
     rough = F.floor(F.regexp_count(F.col("html"), F.lit(r"\S+")) / 2)
-    cut = files.withColumn("pieces", anchor_pieces(F.col("html"))).withColumn("n", F.size("pieces") - 1)
-    split = F.col("n").between(MIN_ANCHORS, MAX_ANCHORS) & (rough >= MIN_FILE_WORDS)
-    rows = cut.select(
-        key,
-        split.alias("was_split"),
-        F.posexplode(F.when(split, F.slice(F.col("pieces"), F.lit(2), F.col("n"))).otherwise(F.array("html"))).alias(
-            "seq", "content"
-        ),
-    )
-    anchor = F.when(F.col("was_split"), F.regexp_extract("content", r'\bid="(a\d+)"', 1))
-    return rows.filter(strip(F.col("content")) != "").select(key, "seq", anchor.alias("anchor"), "content")
+    listed = entries.filter(F.col("anchor").isNotNull() & (F.col("depth") == 0))
+    many = listed.groupBy(key, "file").agg(F.count("*").alias("n"), F.min_by("title", "pos").alias("first_title"))
+    many = many.filter(F.col("n").between(MIN_ANCHORS, MAX_ANCHORS))
+    ids = files.filter(rough >= MIN_FILE_WORDS).select(key, "file", F.posexplode(F.transform(element_pieces(F.col("html")), lambda p: p["id"])).alias("piece", "anchor"))
+    places = ids.filter(F.col("anchor") != "").groupBy(key, "file", "anchor").agg(F.min("piece").alias("first"))
+    found = listed.join(many.select(key, "file"), [key, "file"], "left_semi").join(places, [key, "file", "anchor"])
+    cut = F.array_sort(F.collect_list(F.struct("pos", "anchor", "title", "first")))
+    cuts = found.groupBy(key, "file").agg(cut.alias("c"))  # ten at most
+
+    def interval(x: Column, i: Column) -> Column:
+        after = F.get("c", i + 1)["first"]
+        return F.struct(i.alias("seq"), x["anchor"].alias("anchor"), x["title"].alias("title"), x["first"].alias("first"), F.when(after > x["first"], after).alias("next"))
+
+    large = files.filter(rough >= MIN_FILE_WORDS).select(key, "file")
+    return many.join(large, [key, "file"]).join(cuts, [key, "file"], "left").select(key, "file", "first_title", F.transform("c", interval).alias("cuts"))
+
+
+def anchor_split(files: DataFrame, entries: DataFrame, key: str) -> DataFrame:
+    """Files (key, file, html) with 2 to 10 listed anchors and 1000 rough words become a row for
+    each anchor that is there and has a text; others stay whole, without anchor and title. A
+    file whose listed anchors are all missing stays whole under the first one's title."""
+    cuts = materialize(files.sparkSession, listed_anchors(files, entries, key), "anchors")
+    texts = F.transform(element_pieces(F.col("html")), lambda p: p["text"])
+
+    def content(t: Column, x: Column) -> Column:
+        end = F.coalesce(x["next"], F.size(t))
+        return F.array_join(F.slice(t, x["first"] + 1, end - x["first"]), "")
+
+    one = F.array(F.struct(F.lit(0).alias("seq"), F.lit(None).cast("string").alias("anchor"), F.col("first_title").alias("title"), F.col("html").alias("content")))
+    parts = bind(texts, lambda t: F.transform("cuts", lambda x: F.struct(x["seq"].alias("seq"), x["anchor"].alias("anchor"), x["title"].alias("title"), content(t, x).alias("content"))))
+    filled = F.filter(parts, lambda x: strip(x["content"]) != "")
+    whole = files.join(cuts, [key, "file"], "left").withColumn("parts", F.when(F.col("cuts").isNotNull(), filled))
+    rows = whole.select(key, "file", F.explode(F.when(F.size("parts") > 0, F.col("parts")).otherwise(one)).alias("p"))
+    return rows.select(key, "file", "p.seq", "p.anchor", "p.title", "p.content").filter(strip(F.col("content")) != "")
 
 
 def between_anchors(html: Column, start: str, end: str | None) -> Column:
-    """From the element with id ``start`` up to the one with id ``end``; to the end without it."""
+    """From the element with id ``start`` (any id, quoted in any way) up to the one with id ``end``;
+    to the end without it."""
 
     def at(anchor: str) -> Column:
-        return F.regexp_instr(html, F.lit(rf'<[a-zA-Z][a-zA-Z0-9]*\b[^>]*\bid="{anchor}"'))
+        name = re.escape(anchor)
+        return F.regexp_instr(html, F.lit(rf"""(?i)<[a-z][a-z0-9]*\b[^>]*\sid\s*=\s*(?:"(?-i:{name})"|'(?-i:{name})'|(?-i:{name})[\s>])"""))
 
     first = at(start)
     stop = at(end) if end else F.lit(0)
@@ -123,11 +162,37 @@ def between_anchors(html: Column, start: str, end: str | None) -> Column:
     return F.when(first > 0, F.substring(html, first, length)).otherwise("")
 
 
+def outline_entries(outline: DataFrame) -> DataFrame:
+    """Flatten nested outlines: (book_id, entry_id, parent_id, child_no, title, page) becomes
+    (book_id, pos, level, title, page), in reading order.
+
+    Each round meets one level's entries with their children, and gives them the path of child
+    numbers from the top. Paths are in reading order (an entry before its children, those before
+    its next sibling), whatever the pages are. There are as many rounds as levels. A recursive
+    query would do the same, but fails over a million rows by default. Entries whose parents
+    are missing are left out.
+    """
+    spark = outline.sparkSession
+    rest = materialize(spark, outline, "outline")
+    level = rest.filter(F.col("parent_id").isNull()).withColumn("path", F.array("child_no"))
+    done = None
+    for depth in count(1):
+        level = materialize(spark, level, "outline-level")
+        found = level.select("book_id", F.lit(depth).alias("level"), "title", "page", "path")
+        done = found if done is None else done.unionByName(found)
+        up = level.select("book_id", F.col("entry_id").alias("parent_id"), F.col("path").alias("up"))
+        level = rest.join(up, ["book_id", "parent_id"]).withColumn("path", F.concat("up", F.array("child_no"))).drop("up")
+        if level.isEmpty():
+            break
+    return with_rank(done, ["book_id"], "path", "pos", RANGES).drop("path")
+
+
 def effective_bookmarks(marks: DataFrame) -> DataFrame:
-    """Level 1 entries; all entries of a book that has none."""
+    """Level 1 entries; all entries of a book that has none. Positions without gaps from 1."""
     top = F.col("level") == 1
-    rows = with_totals(marks, ["book_id"], "page", {"has_top": ("max", top.cast("int"))})
-    return rows.filter(top | (F.col("has_top") == 0)).drop("has_top")
+    rows = with_totals(marks, ["book_id"], "pos", {"has_top": ("max", top.cast("int"))})
+    kept = rows.filter(top | (F.col("has_top") == 0)).drop("has_top")
+    return with_rank(kept, ["book_id"], "pos", "range_no")
 
 
 def _close_last(rows: DataFrame, next_col: str, page_counts: DataFrame) -> DataFrame:
@@ -139,21 +204,36 @@ def _close_last(rows: DataFrame, next_col: str, page_counts: DataFrame) -> DataF
 
 
 def bookmark_ranges(marks: DataFrame, page_counts: DataFrame) -> DataFrame:
-    """[start, next start - 1] per entry, the last to the end of the book; empty ranges dropped."""
+    """[start, next start - 1] per entry in reading order (range_no from 1), the last to the end
+    of the book; empty ranges dropped. Entries of one page, or an outline out of page order, give
+    what their order says: ranges may be empty or overlap."""
     m = with_neighbors(
-        effective_bookmarks(marks).select("book_id", "title", F.col("page").alias("start_page")),
+        effective_bookmarks(marks).select("book_id", "range_no", "title", F.col("page").alias("start_page")),
         ["book_id"],
-        "start_page",
+        "range_no",
         next={"next_start": "start_page"},
     )
     end = F.coalesce(F.col("next_start") - 1, F.col("pages"))
     return (
         _close_last(m, "next_start", page_counts)
-        .select("book_id", "title", "start_page", end.alias("end_page"))
+        .select("book_id", "range_no", "title", "start_page", end.alias("end_page"))
         .filter(F.col("end_page") >= F.col("start_page"))
     )
 
 
+def pages_in_ranges(pages: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Each page with the ranges that hold it; ranges may overlap.
+
+    Pages and ranges meet on blocks of ``PAGES_PER_BLOCK`` pages, a range once for each block it
+    reaches into, so no book is one group; a page has a row for each range that holds it, which is
+    the result's size.
+    """
+    block = lambda c: F.floor(F.col(c) / PAGES_PER_BLOCK)
+    spread = ranges.select("book_id", "range_no", "start_page", "end_page", F.explode(F.sequence(block("start_page"), block("end_page"))).alias("block"))
+    held = pages.withColumn("block", block("page")).join(spread, ["book_id", "block"])
+    return held.filter(F.col("page").between(F.col("start_page"), F.col("end_page"))).select(*pages.columns, "range_no")
+
+
 def heading_breaks(pages: DataFrame) -> DataFrame:
     """Lines that open a chapter, numbered per book; books with fewer than two have none.
 
@@ -236,7 +316,7 @@ def range_summary(held: DataFrame) -> DataFrame:
 def range_text(pages: DataFrame, ranges: DataFrame) -> DataFrame:
     """Text of each range in parts, pages joined by a blank line. The ranges are found on keys;
     texts join once, by page."""
-    held = pages_of_ranges(pages.select("book_id", "page"), ranges)
+    held = pages_in_ranges(pages.select("book_id", "page"), ranges)
     return ordered_parts(
         pages.join(held, ["book_id", "page"]), ["book_id", "range_no"], "page", "text", "text", "\n\n"
     )

@@ -258,8 +258,10 @@ VIEWS: dict[str, tuple[list[str], str]] = {
     ),
     "bookmarks": (
         ["numbered"],
-        f"""select book_id, page, level, 'Mark ' || page as title from (select book_id, chapter_number as page,
-        case when chapter_number % 7 = 1 and {BOOK_NO} % 2 = 0 then 1 when chapter_number % 7 = 4 then 2 end as level from numbered)
+        f"""select book_id, row_number() over (partition by book_id order by n) as pos, level, 'Mark ' || n as title,
+        case when even and n % 21 = 1 and n > 1 then n - 4 when not even and n % 14 = 4 and n > 4 then n - 7 else n end as page
+        from (select book_id, chapter_number as n, {BOOK_NO} % 2 = 0 as even,
+          case when chapter_number % 7 = 4 then 2 when {BOOK_NO} % 2 = 0 and chapter_number % 7 = 1 then 1 when {BOOK_NO} % 2 = 0 and chapter_number % 7 = 5 then 3 end as level from numbered)
         where level is not null and {BOOK_NO} % 3 <> 2""",
     ),
 }

@@ -294,37 +294,62 @@ def split_file_parts(spark, root):
 
 
 def _anchored(spark, root):
-    """Each document as an HTML file; every fifth line opens an anchor, up to the document id modulo 13."""
+    """Each document as an HTML file; every fifth line is an element with an id, up to the document
+    id modulo 13, quoted in two ways. Its table of contents lists them, backwards in every fourth
+    document, with one that is not there in every third, and each with a note below it."""
 
     def block(line, i):
         n = F.floor(i / 5)
         has = (i % 5 == 0) & (n < F.col("doc_id") % 13)
-        tag = F.when(has, F.concat(F.lit('<p id="a'), n.cast("string"), F.lit('">'))).otherwise("<p>")
-        return F.concat(tag, line, F.lit("</p>"))
-
+        name = F.concat(F.lit("ch"), n.cast("string"))
+        tag = F.when(n % 2 == 0, F.concat(F.lit('<p id="'), name, F.lit('">'))).otherwise(F.concat(F.lit("<p class=x id='"), name, F.lit("'>")))
+        return F.concat(F.when(has, tag).otherwise("<p>"), line, F.lit("</p>"))
+
+    def entry(n):
+        def link(anchor, title):
+            return F.struct(F.concat(F.lit(title), n.cast("string")).alias("title"), F.concat(F.lit(f"f.html#{anchor}"), n.cast("string")).alias("href"))
+
+        top = link("ch", "Title ")
+        return F.struct(top["title"].alias("title"), top["href"].alias("href"), F.array(link("note", "Note ")).alias("children"))
+
+    lines, no_int = F.split("text", "\n"), F.array().cast("array<int>")
+    n = F.least(F.col("doc_id") % 13, F.ceil(F.size(lines) / 5)).cast("int")
+    here = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(no_int)
+    order = F.when(F.col("doc_id") % 4 == 0, F.reverse(here)).otherwise(here)
+    gone = F.when(F.col("doc_id") % 3 == 0, F.array(F.lit(99))).otherwise(no_int)
     docs = text_table(spark, root, "documents", "doc_id")
     return docs.select(
-        "doc_id", F.concat(F.lit("<h4>Opening</h4>"), F.array_join(F.transform(F.split("text", "\n"), block), "")).alias("html")
+        "doc_id",
+        F.lit("f.html").alias("file"),
+        F.concat(F.lit("<h4>Opening</h4>"), F.array_join(F.transform(lines, block), "")).alias("html"),
+        F.transform(F.concat(order, gone), entry).alias("toc"),
     )
 
 
 _ANCHORED = {
     "al": "select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as i from documents",
-    "ab": """select *, i % 5 = 0 and i // 5 < doc_id % 13 as has, case when i % 5 = 0 and i // 5 < doc_id % 13 then '<p id="a' || i // 5 || '">' else '<p>' end || line || '</p>' as block from al""",
+    "ab": """select *, i % 5 = 0 and i // 5 < doc_id % 13 as has, case when not (i % 5 = 0 and i // 5 < doc_id % 13) then '<p>' when i // 5 % 2 = 0 then '<p id="ch' || i // 5 || '">'
+      else '<p class=x id=' || chr(39) || 'ch' || i // 5 || chr(39) || '>' end || line || '</p>' as block from al""",
     "af": "select doc_id, '<h4>Opening</h4>' || string_agg(block, '' order by i) as html, count(*) filter (has) as n from ab group by doc_id",
-    "ag": r"select *, n between 2 and 10 and len(regexp_extract_all(html, '\S+')) // 2 >= 1000 as cut from af",
+    "ag": r"select *, n + case when doc_id % 3 = 0 then 1 else 0 end between 2 and 10 and n > 0 and len(regexp_extract_all(html, '\S+')) // 2 >= 1000 as cut from af",
     "ap": "select doc_id, i, block, sum(has::int) over (partition by doc_id order by i) as seg from ab",
+    # listed anchors that are there, and the one that ends each
+    "ax": """select doc_id, i // 5 as a, row_number() over (partition by doc_id order by case when doc_id % 4 = 0 then -i else i end) - 1 as seq,
+      lead(i // 5) over (partition by doc_id order by case when doc_id % 4 = 0 then -i else i end) as nxt from ab join (select doc_id from ag where cut) using (doc_id) where has""",
 }
 
 
 @query(
     "anchor_split",
     S.cte(extra=_ANCHORED)
-    + """select doc_id, cast(seg - 1 as int) as seq, 'a' || (seg - 1) as anchor, string_agg(block, '' order by i) as content from ap join (select doc_id from ag where cut) using (doc_id) where seg > 0 group by doc_id, seg
-    union all select doc_id, 0, null, html from ag where not cut""",
+    + """select x.doc_id, 'f.html' as file, cast(seq as int) as seq, 'ch' || a as anchor, 'Title ' || a as title, string_agg(block, '' order by i) as content
+    from ax x join ap p on p.doc_id = x.doc_id and seg > a and (nxt is null or nxt < a or seg <= nxt) group by all
+    union all select doc_id, 'f.html', 0, null, null, html from ag where not cut""",
 )
 def anchor_split(spark, root):
-    return ops.anchor_split(_anchored(spark, root), "doc_id")
+    files = _anchored(spark, root)
+    entries = ops.toc_entries(files.select("doc_id", "toc"), "doc_id")
+    return ops.anchor_split(files.drop("toc"), entries, "doc_id")
 
 
 @query(
@@ -336,7 +361,7 @@ def anchor_split(spark, root):
 def between_markers(spark, root):
     h = F.col("html")
     return _anchored(spark, root).select(
-        "doc_id", ops.between_anchors(h, "a1", "a2").alias("second"), ops.between_anchors(h, "a2", None).alias("rest")
+        "doc_id", ops.between_anchors(h, "ch1", "ch2").alias("second"), ops.between_anchors(h, "ch2", None).alias("rest")
     )
 
 
@@ -399,7 +424,8 @@ def _page_counts(pages):
 
 _COUNTS = "pc as (select book_id, count(*) as pages from book_pages group by book_id)"
 _MARKS = """em as (select * from bookmarks b where level = 1 or not exists (select 1 from bookmarks x where x.book_id = b.book_id and x.level = 1)),
-  br as (select book_id, title, page as start_page, cast(coalesce(lead(page) over (partition by book_id order by page) - 1, pages) as int) as end_page from em join pc using (book_id))"""
+  br as (select book_id, cast(row_number() over (partition by book_id order by pos) as int) as range_no, title, page as start_page,
+    cast(coalesce(lead(page) over (partition by book_id order by pos) - 1, pages) as int) as end_page from em join pc using (book_id))"""
 _BREAKS = rf"""bl as (select book_id, page, trim(unnest(string_split(text, chr(10)))) as title, generate_subscripts(string_split(text, chr(10)), 1) as line from book_pages),
   bf as (select *, row_number() over (partition by book_id order by page, line) as break_no, count(*) over (partition by book_id) as n from bl where regexp_matches(title, {S.quoted(ops.CHAPTER_LINE)})),
   bk as (select book_id, page, title, cast(break_no as int) as break_no from bf where n >= 2),
@@ -411,9 +437,8 @@ def bookmark_ranges(spark, root):
     pages = book_pages(spark, root)
     ranges = materialize(spark, ops.bookmark_ranges(bookmarks(spark, root), _page_counts(pages)), "ranges")
     sizes = materialize(spark, ops.page_sizes(pages), "sizes")
-    held = ops.pages_of_ranges(sizes, ranges.withColumn("range_no", F.col("start_page")))
-    full = ops.range_summary(held).select("book_id", F.col("range_no").alias("start_page"))
-    return ranges.join(full, ["book_id", "start_page"], "left_semi").select("book_id", "title", "start_page", "end_page")
+    full = ops.range_summary(ops.pages_in_ranges(sizes, ranges)).select("book_id", "range_no")
+    return ranges.join(full, ["book_id", "range_no"], "left_semi").select("book_id", "range_no", "title", "start_page", "end_page")
 
 
 @query("heading_segments", S.cte("book_pages") + f", {_COUNTS}, {_BREAKS} select book_id, break_no, page, title from bk")
@@ -470,13 +495,13 @@ def segment_strategy(spark, root):
 @query(
     "range_text",
     S.cte("bookmarks", "book_pages")
-    + f""", {_COUNTS}, {_MARKS} select br.book_id, start_page as range_no, cast((page - 1) // 200 * 200 as int) as part, string_agg(text, chr(10) || chr(10) order by page) as text
+    + f""", {_COUNTS}, {_MARKS} select br.book_id, range_no, cast((page - 1) // 200 * 200 as int) as part, string_agg(text, chr(10) || chr(10) order by page) as text
     from br join book_pages p on p.book_id = br.book_id and page between start_page and end_page group by all""",
 )
 def range_text(spark, root):
     pages = book_pages(spark, root)
     ranges = materialize(spark, ops.bookmark_ranges(bookmarks(spark, root), _page_counts(pages)), "ranges")
-    return ops.range_text(pages, ranges.withColumn("range_no", F.col("start_page")))
+    return ops.range_text(pages, ranges)
 
 
 @query(

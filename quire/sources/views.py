@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from quire.functions.text import title_or_default, word_count
 from quire.functions.titles import is_back_matter, is_front_matter
 from quire.operators.scale import with_rank
+from quire.operators.segments import outline_entries
 from quire.sources.tables import read_table, text_table
 
 AS_OF = "2024-01-30"
@@ -104,19 +105,33 @@ def book_pages(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def bookmarks(spark: SparkSession, root: str) -> DataFrame:
-    """Outline entries by page: level 1 every 7th page in even books, level 2 elsewhere; none in every third book."""
+def outlines(spark: SparkSession, root: str) -> DataFrame:
+    """Nested outlines by page. In even books every 7th page opens a part, with a mark three
+    pages on inside it and a note inside the mark; every third part names a page before its last
+    mark's. In odd books there are marks alone, every second of them on the page of the one
+    before. None in every third book."""
     num = book_number(F.col("book_id"))
     p = F.col("page")
     pages = with_rank(
         chapter_source(spark, root).drop("content", "lang"), ["book_id"], "chapter_id", "page"
+    ).filter(num % 3 != 2)
+    even = num % 2 == 0
+    kind = F.when((p % 7 == 1) & even, "part").when(p % 7 == 4, "mark").when((p % 7 == 5) & even, "note")
+    part = p - (p - 1) % 7
+    return pages.withColumn("kind", kind).filter(F.col("kind").isNotNull()).select(
+        "book_id",
+        p.alias("entry_id"),
+        F.when(F.col("kind") == "mark", F.when(even, part)).when(F.col("kind") == "note", p - 1).alias("parent_id"),
+        p.alias("child_no"),
+        F.concat(F.lit("Mark "), p.cast("string")).alias("title"),
+        F.when(even & (p % 21 == 1) & (p > 1), p - 4).when(~even & (p % 14 == 4) & (p > 4), p - 7).otherwise(p).alias("page"),
     )
-    level = F.when((p % 7 == 1) & (num % 2 == 0), 1).when(p % 7 == 4, 2)
-    return (
-        pages.withColumn("level", level)
-        .filter(F.col("level").isNotNull() & (num % 3 != 2))
-        .select("book_id", "page", "level", F.concat(F.lit("Mark "), p.cast("string")).alias("title"))
-    )
+
+
+def bookmarks(spark: SparkSession, root: str) -> DataFrame:
+    """The outlines, flat; entries of odd books are all below the top level."""
+    num = book_number(F.col("book_id"))
+    return outline_entries(outlines(spark, root)).withColumn("level", F.col("level") + F.when(num % 2 == 0, 0).otherwise(1))
 
 
 def calls(spark: SparkSession, root: str) -> DataFrame:
