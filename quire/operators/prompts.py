@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.regex import strip
+from quire.sources.tables import materialize
 
 # Category by name prefix, first match wins.
 LOCAL_CATEGORIES = {
@@ -46,6 +47,31 @@ def render(template: Column, values: dict[str, Column]) -> Column:
     )
 
 
+def rendered_length(template: str, content: Column, values: dict[str, Column]) -> Column:
+    """Length of what ``render`` makes of a template with {content} first and then ``values``,
+    from a content's ``content_size``: the text itself is not needed."""
+    size, counts = F.length(F.lit(template.replace("{content}", ""))) + content["chars"], {}
+    for name in values:
+        mark = "{" + name + "}"
+        counts[name] = content[name] + F.lit(template.count(mark))
+    for name, value in values.items():
+        mark = "{" + name + "}"
+        value = F.coalesce(value.cast("string"), F.lit(""))
+        size = size + counts[name] * (F.length(value) - len(mark))
+        for later in list(values)[list(values).index(name) + 1 :]:
+            counts[later] = counts[later] + counts[name] * occurrences(value, "{" + later + "}")
+    return size
+
+
+def occurrences(text: Column, mark: str) -> Column:
+    return ((F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))) / len(mark)).cast("bigint")
+
+
+def content_size(content: Column, names: list[str]) -> Column:
+    """Characters, and how often each placeholder stands in the content."""
+    return F.struct(F.length(content).cast("bigint").alias("chars"), *[occurrences(content, "{" + n + "}").alias(n) for n in names])
+
+
 def category(name: Column, table: dict[str, str], default: str) -> Column:
     out = None
     for prefix, value in table.items():
@@ -114,21 +140,23 @@ def orphans(catalog: DataFrame, records: DataFrame) -> DataFrame:
 
 
 def upsert(catalog: DataFrame, records: DataFrame) -> DataFrame:
-    """The catalogue after synchronisation: insert new names, overwrite changed ones."""
-    fields = ["category", "default_model", "template", "checksum", "path"]
-    new = records.filter(~F.col("unreadable")).select(
-        "name", *[F.col(f).alias(f"n_{f}") for f in fields]
-    )
-    joined = catalog.select("name", *fields).join(new, "name", "full_outer")
-    take = F.col("n_checksum").isNotNull() & ~F.col("checksum").eqNullSafe(F.col("n_checksum"))
-    action = (
-        F.when(F.col("n_checksum").isNull(), "kept")
-        .when(F.col("path").isNull() & F.col("checksum").isNull(), "inserted")
-        .when(take, "updated")
-        .otherwise("unchanged")
-    )
-    return joined.select(
-        "name",
-        action.alias("action"),
-        *[F.when(take, F.col(f"n_{f}")).otherwise(F.col(f)).alias(f) for f in fields],
-    )
+    """The catalogue after synchronisation: insert new names, overwrite changed ones.
+
+    Files of one name take turns in the order of their paths, so the last one that differs from
+    what stands before it is kept, and a name has one row. Names and checksums decide; a template
+    moves once, from the side that is chosen.
+    """
+    fields = ["category", "default_model", "template", "variables", "checksum", "path"]
+    files = records.filter(~F.col("unreadable")).select("name", "path", "checksum")
+    stored = catalog.select("name", F.col("checksum").alias("stored"), F.lit(True).alias("known"))
+    turn = Window.partitionBy("name").orderBy("path")
+    before = F.when(F.row_number().over(turn) == 1, F.col("stored")).otherwise(F.lag("checksum").over(turn))
+    changed = F.col("checksum").isNotNull() & ~F.col("checksum").eqNullSafe(before)
+    steps = files.join(stored, "name", "full_outer").withColumn("taken", F.when(changed, F.col("path")))
+    decided = steps.groupBy("name").agg(F.max("taken").alias("taken"), F.count("checksum").alias("files"), F.max("known").alias("known"))
+    action = F.when(F.col("files") == 0, "kept").when(F.col("taken").isNull(), "unchanged").when(F.col("known").isNull(), "inserted").otherwise("updated")
+    decided = materialize(records.sparkSession, decided.select("name", "taken", action.alias("action")), "decided")
+    old = catalog.join(decided.filter(F.col("taken").isNull()), "name")
+    chosen = decided.filter(F.col("taken").isNotNull()).withColumnRenamed("taken", "path")
+    new = records.filter(~F.col("unreadable")).join(chosen, ["name", "path"])
+    return old.select("name", "action", *fields).unionByName(new.select("name", "action", *fields))

@@ -234,22 +234,20 @@ def pages_in_ranges(pages: DataFrame, ranges: DataFrame) -> DataFrame:
     return held.filter(F.col("page").between(F.col("start_page"), F.col("end_page"))).select(*pages.columns, "range_no")
 
 
-def heading_breaks(pages: DataFrame) -> DataFrame:
-    """Lines that open a chapter, numbered per book; books with fewer than two have none.
-
-    The text is searched once; what was found is written, as the steps after it branch.
-    """
-    lines = pages.select(
-        "book_id",
-        "page",
-        F.posexplode(F.split("text", "\n")).alias("line", "raw"),
-    ).withColumn("title", strip(F.col("raw")))
-    found = materialize(
-        pages.sparkSession,
-        lines.filter(F.col("title").rlike(CHAPTER_LINE)).select(
-            "book_id", "page", "title", (F.col("page") * LINES_PER_PAGE + F.col("line")).alias("pos")
-        ),
-        "heading-lines",
+def page_facts(pages: DataFrame) -> DataFrame:
+    """All that segmentation asks of a page's text, in one pass over it: characters, characters
+    without white space at the ends, and the lines that open a chapter. Written, as the steps
+    after it branch."""
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("line"), strip(x).alias("title")))
+    found = F.filter(lines, lambda x: x["title"].rlike(CHAPTER_LINE))
+    size = [F.length("text").alias("chars"), F.length(strip(F.col("text"))).alias("inked")]
+    return materialize(pages.sparkSession, pages.select("book_id", "page", *size, found.alias("lines")), "page-facts")
+
+
+def heading_breaks(facts: DataFrame) -> DataFrame:
+    """Lines that open a chapter (of ``page_facts``), numbered per book; books with fewer than two have none."""
+    found = facts.select("book_id", "page", F.explode("lines").alias("x")).select(
+        "book_id", "page", "x.title", (F.col("page") * LINES_PER_PAGE + F.col("x.line")).alias("pos")
     )
     width = 1024 * LINES_PER_PAGE
     ranked = with_rank(found, ["book_id"], "pos", "break_no", width)

@@ -15,6 +15,22 @@ from quire.operators.scale import latest_by, ordered_parts, with_neighbors
 KEY = ["item_id", "prompt_name"]
 # Texts put before and after earlier results.
 PRIOR_HEAD = "=== VERSION {} (ALREADY EXTRACTED - DO NOT REPEAT) ==="
+RULE_LINE = "=" * 80 + "\n"
+EXTRACTED_BEFORE = (
+    "\n\n" + RULE_LINE
+    + "CRITICAL INSTRUCTION: The following content has ALREADY been extracted in previous versions.\n"
+    + "You MUST find COMPLETELY DIFFERENT material that is NOT listed below.\n"
+    + "Do NOT repeat, paraphrase, or slightly modify any of the content below.\n"
+    + "If you cannot find new material, state that explicitly.\n"
+    + RULE_LINE + "\n"
+)
+EXTRACTED_AFTER = "\n\n" + RULE_LINE + "REMINDER: Find DIFFERENT material not shown above.\n" + RULE_LINE + "\n"
+WRITTEN_BEFORE = (
+    "\n\n---\n\nIMPORTANT: Previous versions of this analysis already exist. "
+    "Please provide DIFFERENT insights, examples, or anecdotes than those below. "
+    "Find new material not covered in previous versions:\n\n"
+)
+WRITTEN_AFTER = "\n\n---\n\n"
 PREVIEW_CHARS = 500
 PRIOR_VERSIONS = 3
 
@@ -93,7 +109,8 @@ def grouped_versions(versions: DataFrame, catalogue: list[str]) -> DataFrame:
 
 
 def prior_context(versions: DataFrame, extraction: str) -> DataFrame:
-    """The three newest texts of a key: whole for the extraction prompt, else the first 500 characters."""
+    """The three newest texts of a key, in the frame that stands before the content of a request:
+    whole for the extraction prompt, else the first 500 characters."""
     w = Window.partitionBy(*KEY).orderBy(F.desc("version"))
     top = (
         versions.withColumn("k", F.row_number().over(w))
@@ -111,7 +128,18 @@ def prior_context(versions: DataFrame, extraction: str) -> DataFrame:
         F.concat(F.lit("Version "), v, F.lit(": "), short)
     )
     items = F.array_sort(F.collect_list(F.struct("k", line.alias("t"))))
-    return top.groupBy(*KEY).agg(F.array_join(F.transform(items, lambda x: x["t"]), "\n\n").alias("context"))
+    texts = top.groupBy(*KEY).agg(F.array_join(F.transform(items, lambda x: x["t"]), "\n\n").alias("context"))
+    extracted = F.col("prompt_name") == extraction
+    before = F.when(extracted, EXTRACTED_BEFORE).otherwise(WRITTEN_BEFORE)
+    after = F.when(extracted, EXTRACTED_AFTER).otherwise(WRITTEN_AFTER)
+    return texts.withColumn("context", F.concat(before, "context", after))
+
+
+def with_prior(prompt: Column, content: Column, context: Column) -> Column:
+    """A request with the earlier results before the first place where its content stands."""
+    at = F.instr(prompt, content)
+    placed = F.concat(F.substring(prompt, F.lit(1), at - 1), context, F.substring(prompt, at, F.length(prompt)))
+    return F.when(context.isNotNull() & (at > 0), placed).otherwise(prompt)
 
 
 def violations(summaries: DataFrame) -> DataFrame:

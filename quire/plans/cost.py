@@ -10,7 +10,7 @@ from quire.operators import cost as ops
 from quire.plans import sqlkit as S
 from quire.plans.registry import query
 from quire.sources.tables import materialize, read_table
-from quire.sources.views import AS_OF, calls, chapter_source, chapter_words, chapters, main_chapters
+from quire.sources.views import AS_OF, calls, chapter_source, chapter_words, main_chapters, number_chapters
 
 LIMITS = ops.Settings()  # as shipped
 TIGHT = ops.Settings(monthly_limit="0.50", daily_limit=2)  # per budget key
@@ -83,21 +83,15 @@ def output_token_rules(spark, root):
 TEMPLATE = "# Task for {title}\n\n{content}\n\nby {author}"
 
 
-def _rendered(df):
-    """The template rendered per chapter: content, then title, then author."""
-    from quire.operators.prompts import render
-
-    return df.withColumn(
-        "prompt",
-        render(
-            F.lit(TEMPLATE),
-            {
-                "content": F.col("content"),
-                "title": title_or_default(F.col("title"), F.col("chapter_number")),
-                "author": F.col("lang"),
-            },
-        ),
-    )
+def _tokens(spark, root):
+    """Chapters with the tokens of the rendered template: content, then title, then author. Texts
+    are measured in the scan and stay there; the shuffle of the numbering moves their sizes."""
+    from quire.operators.prompts import content_size, rendered_length
+
+    small = chapter_source(spark, root).withColumn("content", content_size(F.col("content"), ["title", "author"]))
+    values = {"title": title_or_default(F.col("title"), F.col("chapter_number")), "author": F.col("lang")}
+    size = rendered_length(TEMPLATE, F.col("content"), values)
+    return number_chapters(small).select("book_id", "chapter_id", F.ceil(size / 4).cast("bigint").alias("tokens"))
 
 
 _SQL_RENDER = (
@@ -123,10 +117,8 @@ def _today(spark, root):
 
 def _with_today(spark, root, df):
     """Attach the one-row usage by a scalar subquery; no join."""
-    use = _today(spark, root)
-    return df.withColumn("day_calls", use.select("day_calls").scalar()).withColumn(
-        "month_cost", use.select("month_cost").scalar()
-    )
+    use = _today(spark, root).select(F.struct("day_calls", "month_cost")).scalar()
+    return df.withColumn("use", use).select(*df.columns, "use.day_calls", "use.month_cost")
 
 
 @query(
@@ -141,8 +133,8 @@ def _with_today(spark, root, df):
 def request_preview(spark, root):
     n, out = F.col("tokens"), F.col("output_tokens")
     small = (
-        _rendered(chapters(spark, root))
-        .select("chapter_id", M.token_estimate(F.col("prompt")).alias("tokens"))
+        _tokens(spark, root)
+        .drop("book_id")
         .withColumn("output_tokens", M.output_preview(n))
         .withColumn("cost", M.cost(n, out, F.lit("small")))
     )
@@ -165,8 +157,7 @@ def batch_preview(spark, root):
     """Chapter rows, and a total row per book where chapter_id is null."""
     n, out = F.col("tokens"), F.col("output_tokens")
     rows = (
-        _rendered(chapters(spark, root))
-        .select("book_id", "chapter_id", M.token_estimate(F.col("prompt")).alias("tokens"))
+        _tokens(spark, root)
         .withColumn("output_tokens", M.output_preview(n))
         .withColumn("cost", M.cost(n, out, F.lit("small")))
     )

@@ -24,6 +24,7 @@ def _catalog(spark, root, records):
         "category",
         "default_model",
         "template",
+        F.when(n % 4 == 1, F.array(F.lit("old"))).otherwise(F.col("variables")).alias("variables"),
         F.when(n % 4 == 1, F.md5(F.concat(F.col("checksum"), F.lit("old")))).otherwise(F.col("checksum")).alias("checksum"),
         F.when(n % 4 == 3, F.lit(None).cast("string")).otherwise(F.col("path")).alias("path"),
     )
@@ -33,6 +34,7 @@ def _catalog(spark, root, records):
         F.lit("rating").alias("category"),
         F.lit("small").alias("default_model"),
         F.col("text").alias("template"),
+        F.array(F.lit("content")).alias("variables"),
         F.md5(F.encode("text", "UTF-8")).alias("checksum"),
         F.when(i % 3 == 0, "").otherwise(F.concat(F.lit("prompts/b"), i.cast("string"))).alias("path"),
     )
@@ -59,9 +61,9 @@ _RECORDS = {
       coalesce(h_category, {_category('coalesce(h_name, stem)', ops.LOCAL_CATEGORIES, 'custom')}) as category,
       coalesce(h_model, 'small') as default_model, coalesce(replace(trim(h_variables, '[]'), ' ', ''), 'content') as variables,
       body as template, md5(content) as checksum, content is null as unreadable from fields""",
-    "catalog": """select name, category, default_model, template, case when file_id % 4 = 1 then md5(checksum || 'old') else checksum end as checksum,
+    "catalog": """select name, category, default_model, template, case when file_id % 4 = 1 then 'old' else variables end as variables, case when file_id % 4 = 1 then md5(checksum || 'old') else checksum end as checksum,
       case when file_id % 4 = 3 then null else path end as path from records where not unreadable and file_id % 4 <> 2
-      union all select 'rate_bench_' || item_id, 'rating', 'small', text, md5(text), case when item_id % 3 = 0 then '' else 'prompts/b' || item_id end from benchmark""",
+      union all select 'rate_bench_' || item_id, 'rating', 'small', text, 'content', md5(text), case when item_id % 3 = 0 then '' else 'prompts/b' || item_id end from benchmark""",
     "status": """select r.*, case when unreadable then 'error' when c.name is null then 'new' when c.checksum = r.checksum then 'synced' else 'changed' end as status
       from records r left join (select name, checksum from catalog) c on c.name = r.name""",
 }
@@ -160,6 +162,7 @@ def orphans(spark, root):
         case when n.name is null or c.checksum = n.checksum then c.category else n.category end as category,
         case when n.name is null or c.checksum = n.checksum then c.default_model else n.default_model end as default_model,
         case when n.name is null or c.checksum = n.checksum then c.template else n.template end as template,
+        case when n.name is null or c.checksum = n.checksum then c.variables else n.variables end as variables,
         case when n.name is null or c.checksum = n.checksum then c.checksum else n.checksum end as checksum,
         case when n.name is null or c.checksum = n.checksum then c.path else n.path end as path
         from catalog c full join n on n.name = c.name"""
@@ -167,7 +170,7 @@ def orphans(spark, root):
 )
 def catalog_upsert(spark, root):
     records = _records(spark, root)
-    return ops.upsert(_catalog(spark, root, records), records)
+    return ops.upsert(_catalog(spark, root, records), records).withColumn("variables", F.array_join("variables", ","))
 
 
 @query(

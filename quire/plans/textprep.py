@@ -443,14 +443,10 @@ def bookmark_ranges(spark, root):
 
 @query("heading_segments", S.cte("book_pages") + f", {_COUNTS}, {_BREAKS} select book_id, break_no, page, title from bk")
 def heading_segments(spark, root):
-    breaks = ops.heading_breaks(book_pages(spark, root))
+    breaks = ops.heading_breaks(ops.page_facts(book_pages(spark, root)))
     return breaks.select("book_id", "break_no", "page", "title")
 
 
-def _break_ranges(spark, root, pages):
-    return ops.break_ranges(ops.heading_breaks(pages), _page_counts(pages))
-
-
 @query(
     "break_segments",
     S.cte("book_pages")
@@ -458,10 +454,9 @@ def _break_ranges(spark, root, pages):
     from bs s join book_pages p on p.book_id = s.book_id and p.page between start_page and end_page group by all having bool_or(trim(p.text) <> '')""",
 )
 def break_segments(spark, root):
-    pages = book_pages(spark, root)
-    ranges = materialize(spark, _break_ranges(spark, root, pages), "segments")
-    sizes = materialize(spark, ops.page_sizes(pages), "sizes")
-    held = ops.pages_of_ranges(sizes, ranges.withColumnRenamed("break_no", "range_no"))
+    facts = ops.page_facts(book_pages(spark, root))
+    ranges = materialize(spark, ops.break_ranges(ops.heading_breaks(facts), _page_counts(facts)), "segments")
+    held = ops.pages_of_ranges(facts.drop("lines"), ranges.withColumnRenamed("break_no", "range_no"))
     sums = ops.range_summary(held).withColumnRenamed("range_no", "break_no")
     return ranges.join(sums, ["book_id", "break_no"]).select(
         "book_id", "break_no", "title", "start_page", "end_page", "pages", "chars"
@@ -487,9 +482,9 @@ def fixed_segments(spark, root):
     select *, case when strategy = 'fixed' then '{ops.FALLBACK_WARNING}' end as warning from s""",
 )
 def segment_strategy(spark, root):
-    pages = book_pages(spark, root)
-    breaks = ops.heading_breaks(pages)
-    return ops.strategies(_page_counts(pages), bookmarks(spark, root), breaks)
+    facts = ops.page_facts(book_pages(spark, root))
+    breaks = ops.heading_breaks(facts)
+    return ops.strategies(_page_counts(facts), bookmarks(spark, root), breaks)
 
 
 @query(

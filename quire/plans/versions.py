@@ -147,12 +147,12 @@ def grouped_versions(spark, root):
 @query(
     "prior_context",
     S.cte("texts")
-    + """select item_id, prompt_name, string_agg(case when prompt_name = 'assistant'
+    + f"""select item_id, prompt_name, case when prompt_name = 'assistant' then {S.quoted(ops.EXTRACTED_BEFORE)} else {S.quoted(ops.WRITTEN_BEFORE)} end || string_agg(case when prompt_name = 'assistant'
       then '=== VERSION ' || version || ' (ALREADY EXTRACTED - DO NOT REPEAT) ===' || chr(10) || body
       else 'Version ' || version || ': ' || case when length(body) > 500 then left(body, 500) || '...' else body end end,
-      chr(10) || chr(10) order by version desc) as context
+      chr(10) || chr(10) order by version desc) || case when prompt_name = 'assistant' then {S.quoted(ops.EXTRACTED_AFTER)} else {S.quoted(ops.WRITTEN_AFTER)} end as context
     from (select * replace (case when version % 2 = 0 then repeat(body || ' ', 90) else body end as body) from texts
-          qualify row_number() over (partition by item_id, prompt_name order by version desc) <= 3) where body <> '' group by all""",
+          qualify row_number() over (partition by item_id, prompt_name order by version desc) <= 3) where body <> '' group by item_id, prompt_name""",
 )
 def prior_context(spark, root):
     """Even versions hold long texts, so the preview rule applies."""
