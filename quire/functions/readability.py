@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.regex import count_matches, strip, substitute
-from quire.functions.text import MARKDOWN_STRIP, MARKS_PRESENT, word_count
+from quire.functions.text import is_marked, strip_marks, word_count
 
 # Fixed values.
 VOWELS = "aeiouyàáâãäåæèéêëìíîïòóôõöøœùúûüýÿ"
@@ -54,14 +54,14 @@ def with_counts(df: DataFrame, text: Column) -> DataFrame:
     t, shape, marked = F.col("__text"), F.col("__shape"), F.col("__marked")
     vowel_runs = F.length(shape) - F.length(F.replace(shape, F.lit("a"), F.lit("")))
     return (
-        df.withColumn("__marked", F.coalesce(text.rlike(MARKS_PRESENT), F.lit(False)))
-        .withColumn("__text", strip(F.when(marked, substitute(text, MARKDOWN_STRIP)).otherwise(text)))
+        df.withColumn("__marked", F.coalesce(is_marked(text), F.lit(False)))
+        .withColumn("__text", strip(F.when(marked, strip_marks(text)).otherwise(text)))
         .withColumn("__shape", substitute(F.lower("__text"), [(f"[{VOWELS}]+", "a"), (r"[^a\s]+", "b")]))
         .withColumn("words", count_matches(shape, "[ab]+"))
         .withColumn("sentences", F.greatest(F.lit(1), count_matches(t, r"[.!?]+")))
         .withColumn("syllables", (vowel_runs + count_matches(shape, r"(?<!\S)b(?!\S)")).cast("bigint"))
         .withColumn("polysyllables", count_matches(shape, r"ababa[ab]*"))
-        .withColumn("letters", F.length(F.regexp_replace(t, r"[^\p{L}]", "")))
+        .withColumn("letters", F.length(F.regexp_replace(t, r"\P{L}+", "")))
         .withColumn("raw_words", F.when(marked, word_count(text)).otherwise(F.col("words")))
         .drop("__text", "__shape", "__marked")
     )

@@ -5,6 +5,9 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +17,8 @@ from quire.functions.regex import bind, count_matches, strip, substitute
 
 # --- fixed values: patterns that decide results ------------------------------------
 
+TAG = r"<[^>]+>"
+
 # Markup removed before counting readability, in order. Links go before images, so an
 # image leaves '!alt' behind.
 MARKDOWN_STRIP = [
@@ -24,7 +29,7 @@ MARKDOWN_STRIP = [
     (r"_{1,3}([^_]+)_{1,3}", "$1"),
     (r"\[([^\]]+)\]\([^)]+\)", "$1"),
     (r"!\[([^\]]*)\]\([^)]+\)", ""),
-    (r"<[^>]+>", ""),
+    (TAG, ""),
     (r"(?md)^[-*_]{3,}\s*$", ""),
     (r"(?md)^>\s*", ""),
     (r"(?md)^[\s]*[-*+]\s+", ""),
@@ -32,10 +37,13 @@ MARKDOWN_STRIP = [
     (r"\n{3,}", "\n\n"),
 ]
 
+# what a text must hold for each step above to change it (any of them; none: always tried)
+STRIP_NEEDS = [["```"], ["`"], ["#"], ["*"], ["_"], ["]("], ["]("], [">"], ["-", "*", "_"], [">"], ["-", "*", "+"], [], ["\n\n\n"]]
 WORD_MARKS = r"[#*_\[\]()>`~-]"
 
 # a text without any of these has no word mark and no step above changes it
-MARKS_PRESENT = r"[`#*_\[\]<>+()~-]|\n\n\n|\d\."
+MARKS = ["`", "#", "_", "[", "]", "<", ">", "+", "(", ")", "~", "-", "*", "\n\n\n"]
+NUMBER_MARK = r"\d\."
 
 TIDY_START = [
     (r"\n{3,}", "\n\n"),
@@ -75,8 +83,35 @@ def word_count(c: Column) -> Column:
     return count_matches(F.regexp_replace(c, WORD_MARKS, ""), r"\S+")
 
 
+def strip_marks(c: Column) -> Column:
+    """The Markdown steps, each only on texts that hold what it is about."""
+    for (pattern, replacement), needs in zip(MARKDOWN_STRIP, STRIP_NEEDS, strict=True):
+        if needs:
+            c = bind(c, _step(pattern, replacement, needs))
+        else:
+            c = F.regexp_replace(c, pattern, replacement)
+    return c
+
+
+def _step(pattern: str, replacement: str, needs: list[str]) -> Callable[[Column], Column]:
+    def run(t: Column) -> Column:
+        held = functools.reduce(Column.__or__, [F.contains(t, F.lit(n)) for n in needs])
+        # what stands behind the last end of a tag is not searched: a start without an end
+        # would be followed to the end of the text from every start
+        rest = F.substring_index(t, ">", -1) if pattern == TAG else F.lit("")
+        searched = F.substring(t, F.lit(1), F.length(t) - F.length(rest)) if pattern == TAG else t
+        return F.when(held, F.concat(F.regexp_replace(searched, pattern, replacement), rest)).otherwise(t)
+
+    return run
+
+
+def is_marked(c: Column) -> Column:
+    """Plain searches first: most prose has none of the marks, and they are many times faster than a pattern."""
+    return functools.reduce(Column.__or__, [F.contains(c, F.lit(m)) for m in MARKS]) | c.rlike(NUMBER_MARK)
+
+
 def markdown_strip(c: Column) -> Column:
-    return strip(F.when(c.rlike(MARKS_PRESENT), substitute(c, MARKDOWN_STRIP)).otherwise(c))
+    return bind(c, lambda t: strip(F.when(is_marked(t), strip_marks(t)).otherwise(t)))
 
 
 def html_clean(c: Column) -> Column:
