@@ -8,6 +8,10 @@ level 2 one of the listed keys that level 1 takes wrongly, and so on until no le
 the universe, the level where a key is first missing tells exactly whether it is listed. A URL
 is then judged by testing its own candidates, longest first: nothing is joined.
 
+Level 0 has as many bits a key as make it err on about ``ERRORS`` keys of the counted universe, so
+what comes to the driver for level 1, and all later levels, do not grow with the corpus: with a
+thousand times the pages it takes some 14 bits more for each listed key.
+
 Filters are broadcast. Listed keys are dealt into parts so that one part's keys and filters
 stay under ``part_bytes``, each part has its own cascade, and parts are tested one by one.
 
@@ -28,11 +32,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import U64, append, ascii_lower, column, mix
+from quire.llm.common import U64, append, ascii_lower, column, materialize, mix
 
 PART_BYTES = 16 << 20
 BITS_PER_KEY = 12
 HASHES = 8
+ERRORS = 1 << 12
 MAX_LEVELS = 64
 
 
@@ -56,8 +61,8 @@ def candidates(host: Column, path: Column, lengths: list[int]) -> Column:
 class Bloom:
     """Bits and double hashing of 64-bit key hashes."""
 
-    def __init__(self, keys: np.ndarray, level: int) -> None:
-        self.level, self.size = level, max(64, 1 << math.ceil(math.log2(max(1, len(keys) * BITS_PER_KEY))))
+    def __init__(self, keys: np.ndarray, level: int, bits: float = BITS_PER_KEY) -> None:
+        self.level, self.size = level, max(64, 1 << math.ceil(math.log2(max(1, len(keys) * bits))))
         self.bits = np.zeros(self.size // 8, np.uint8)
         for at in self._places(keys):
             np.bitwise_or.at(self.bits, at >> U64(3), np.left_shift(np.uint8(1), (at & U64(7)).astype(np.uint8)))
@@ -88,13 +93,19 @@ def member(levels: list[Bloom], keys: np.ndarray) -> np.ndarray:
     return answer
 
 
-def build_cascade(spark: SparkSession, listed: np.ndarray, universe: DataFrame) -> list[Bloom]:
-    """``listed``: key hashes; ``universe``: column h, the corpus's candidate key hashes.
+def bits_per_key(universe: int) -> float:
+    """Bits a key with which HASHES probes err on ERRORS of ``universe`` keys, BITS_PER_KEY at least."""
+    rate = min(1.0, ERRORS / max(universe, 1))
+    return max(BITS_PER_KEY, -HASHES / math.log1p(-(rate ** (1 / HASHES)))) if rate < 1 else BITS_PER_KEY
+
+
+def build_cascade(spark: SparkSession, listed: np.ndarray, universe: DataFrame, size: int = 0) -> list[Bloom]:
+    """``listed``: key hashes; ``universe``: column h, the corpus's ``size`` candidate key hashes.
 
     Each round tests the whole universe in Spark and brings back only the keys on which the
-    levels so far err, a fraction of ``listed`` and then of the round before.
+    levels so far err: some ERRORS in the first round, a fraction of the round before in the next.
     """
-    levels = [Bloom(listed, 0)]
+    levels = [Bloom(listed, 0, bits_per_key(size))]
     known = np.sort(listed)
     while len(levels) < MAX_LEVELS:
         if len(levels) % 2:  # the last level stands for listed keys: what else passes all levels?
@@ -130,7 +141,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", part
     pages = pages.drop("host", "path", "rule", "verdict").withColumns({"host": host, "path": path})
     pages = pages.withColumn("_keys", candidates(F.col("host"), F.col("path"), lengths))
     hashes = F.transform("_keys", lambda k: F.xxhash64(k))
-    universe = pages.select(F.explode(F.array_distinct(hashes)).alias("h")).distinct()
+    universe = materialize(spark, pages.select(F.explode(F.array_distinct(hashes)).alias("h")).distinct(), "universe")
+    count = universe.count()
     size = rules.agg(F.coalesce(F.sum(F.octet_length("key") + 40), F.lit(0))).first()[0]
     parts = max(1, math.ceil(size / part_bytes))
     pages = pages.withColumns({"_hashes": hashes, "_best": F.lit(None).cast("int"), "_verdict": F.lit(None).cast("string")})
@@ -138,7 +150,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", part
         mine = rules.where(F.pmod(F.xxhash64("key"), F.lit(parts)) == k).select("key", "verdict", F.xxhash64("key").alias("h")).collect()  # bounded by part_bytes
         listed = np.array([r.h for r in mine], np.int64).view(U64)
         blocked = np.array([r.h for r in mine if r.verdict == "block"], np.int64).view(U64)
-        keys = build_cascade(spark, listed, universe)
+        keys = build_cascade(spark, listed, universe, count)
         # among the listed keys, a second cascade tells the two verdicts apart
         verdicts = build_cascade(spark, blocked, spark.createDataFrame([(int(x),) for x in listed.view(np.int64)], "h bigint"))
         pages = judge(pages, spark.sparkContext.broadcast((keys, verdicts)))

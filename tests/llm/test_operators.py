@@ -369,6 +369,16 @@ def test_url_filter(spark, part_bytes):
     assert op10.filter_urls(pages.limit(0), spark.createDataFrame(RULES[:1], "host string, path string, verdict string")).count() == 0
 
 
+def test_level_0_errs_on_a_bounded_number_of_keys():
+    """Whatever the universe is: the rate falls as its size grows."""
+    rng = np.random.default_rng(4)
+    listed, others = rng.integers(0, 1 << 63, 500).astype(np.uint64), rng.integers(0, 1 << 63, 2_000_000).astype(np.uint64)
+    for universe in (10**4, 10**7, 10**9):
+        wrong = op10.Bloom(listed, 0, op10.bits_per_key(universe)).has(others).mean()
+        assert wrong * universe < 2 * op10.ERRORS or universe == 10**4
+    assert op10.bits_per_key(10**13) < 500
+
+
 def test_cascade_is_exact(spark):
     keys = np.random.default_rng(1).integers(0, 1 << 63, 60000).astype(np.uint64)
     listed = keys[:3000]
