@@ -166,7 +166,17 @@ def drop_empty(html: Column, names: list[str], content: list[str]) -> Column:
         return bind(F.when(filled, -1).when(closed, last_index(a["names"], x["name"])).otherwise(0), moved)
 
     start = {"run": strings(), "names": strings(), "starts": F.array().cast("array<int>")}
-    return fold(tokens(html), start, step, lambda a: F.array_join(a["run"], ""))
+    folded = fold(tokens(html), start, step, lambda a: F.array_join(a["run"], ""))
+    return F.when(html.rlike(_maybe_empty(names)), folded).otherwise(html)
+
+
+def _maybe_empty(names: list[str]) -> str:
+    """Pattern of texts in which such an element may be empty: after a start tag come blanks,
+    references of blanks, comments and tags, but no text, up to an end tag of the names (or 200
+    of them, which says nothing; a pattern without bound would recurse as deep)."""
+    ends = rf"/(?:{'|'.join(names)})\b"
+    inside = rf"{WHITE}++|&(?:nbsp|#160|#[xX][aA]0);?|<!--(?s:.*?)-->|<(?:script|style)\b(?s:.*?)</(?:script|style)\s*+>|<(?!{ends})[^>]*+>"
+    return rf"(?i)<(?:{'|'.join(names)})\b[^>]*+>(?:{inside}){{0,200}}+<"
 
 
 def balance(html: Column) -> Column:

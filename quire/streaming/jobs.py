@@ -54,9 +54,8 @@ class Log:
         rows = self.spark.read.schema(f"{MANIFEST}, batch bigint")
         if batch is not None:
             return [(r.folder, r.batches) for r in rows.json(f"{self.path}/manifest/batch={batch}").collect()] if batch >= 0 else []
-        every = rows.json(f"{self.path}/manifest")
-        last = every.agg(F.max("batch")).first()[0]
-        return [(r.folder, r.batches) for r in every.where(F.col("batch") == last).collect()] if last is not None else []
+        last = rows.json(f"{self.path}/manifest").groupBy("batch").agg(F.collect_list(F.struct("folder", "batches")).alias("live")).orderBy(F.desc("batch")).limit(1)
+        return [(x.folder, x.batches) for r in last.collect() for x in r.live]
 
     def rows(self, folders: Sequence[str]) -> DataFrame:
         """All rows of these folders, with the number of their batch."""
@@ -77,16 +76,14 @@ class Log:
         writer.parquet(f"{self.path}/rows/folder={folder}")
         return folder
 
-    def append(self, rows: DataFrame, number: int) -> list[str]:
+    def append(self, rows: DataFrame, number: int) -> list[tuple[str, int]]:
         """Write the rows of a batch; returns the folders that count now. They are committed
         by ``commit``, so a caller may derive more from them before."""
-        return [*[f for f, _ in self.folders(number - 1)], self._put(rows.withColumn("batch", F.lit(number).cast("bigint")), f"b{number}")]
+        return [*self.folders(number - 1), (self._put(rows.withColumn("batch", F.lit(number).cast("bigint")), f"b{number}"), 1)]
 
-    def commit(self, number: int, folders: Sequence[str]) -> None:
-        known = dict(self.folders(number - 1))
-        live = [(f, known.get(f, 1)) for f in folders]
+    def commit(self, number: int, live: list[tuple[str, int]]) -> None:
         if sum(n == 1 for _, n in live) >= COMPACT:
-            whole = latest_by(self.rows(folders), self.keys, ["batch"])
+            whole = latest_by(self.rows([f for f, _ in live]), self.keys, ["batch"])
             live = [(self._put(whole, f"s{number}"), sum(n for _, n in live))]
         frame = self.spark.createDataFrame(live, MANIFEST).coalesce(1)
         frame.write.mode("overwrite").json(f"{self.path}/manifest/batch={number}")
@@ -263,7 +260,8 @@ def budget_alerts(spark: SparkSession, usage: DataFrame, settings: Settings, hom
     alerts = Log(spark, f"{home}/alerts", "budget_key bigint, day date, alert string", ["budget_key", "day"])
 
     def write(batch: DataFrame, number: int) -> None:
-        folders = state.append(batch.withColumn("month", month), number)
+        live = state.append(batch.withColumn("month", month), number)
+        folders = [f for f, _ in live]
         own = state.rows(folders[-1:])
         months = [r.month for r in own.select("month").distinct().collect()]  # few: a batch spans days
         days = latest_by(state.rows(folders).where(F.col("month").isin(months)), ["budget_key", "day"], ["batch"])
@@ -274,7 +272,7 @@ def budget_alerts(spark: SparkSession, usage: DataFrame, settings: Settings, hom
         )
         texts = F.array_join(warnings(F.lit(0), F.col("month_cost"), settings), "; ")
         alerts.commit(number, alerts.append(known.select("budget_key", "day", texts.alias("alert")), number))
-        state.commit(number, folders)
+        state.commit(number, live)
 
     run_updates(usage, write, home)
     return alerts.current().filter(F.col("alert") != "")
