@@ -184,7 +184,7 @@ def catalog_upsert(spark, root):
 )
 def sync_totals(spark, root):
     """Totals per outcome, with and without force, and one row per failed file."""
-    records = materialize(spark, _records(spark, root).select("path", "name", "checksum", "unreadable", "category", "default_model", "template"), "records")
+    records = materialize(spark, _records(spark, root).select("path", "name", "checksum", "unreadable", "category", "default_model", "template", "variables"), "records")
     catalog = _catalog(spark, root, records)
     both = ops.sync_status(records, catalog).withColumn("force", F.lit(False)).unionByName(
         ops.sync_status(records, catalog, force=True).withColumn("force", F.lit(True))
