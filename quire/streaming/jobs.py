@@ -31,6 +31,8 @@ from quire.sources.views import as_calls
 DELAY = "1 day"
 #: Folders of single batches that a log keeps before it writes them as one.
 COMPACT = 8
+#: States that hold the jobs of a day. Fixed for a home: its checkpoint is laid out by it.
+JOB_BUCKETS = 64
 MANIFEST = "folder string, batches bigint"
 
 
@@ -180,27 +182,38 @@ def job_events(calls: DataFrame, totals: DataFrame) -> DataFrame:
     Calls are kept once each, then counted in the state of their job, which says too whether the
     job was reported ready: ``ready`` is true in one event of a job only, in whichever batch or
     run its last planned call ends. The state goes when no call of the day can come any more.
+
+    A call of the Python function takes milliseconds, however few its rows: the jobs of a day share
+    JOB_BUCKETS states, so that the calls grow with the days and not with the jobs.
     """
 
     def count(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        done, sent = state.get if state.exists else (0, False)
-        total = latest = 0
+        parts, latest = [], 0
         for rows in batches:
-            done += len(rows)
-            total = int(rows["total"].iloc[0])
+            parts.append(rows.groupby("budget_key").agg(new=("total", "size"), total=("total", "first")))
             latest = max(latest, int(rows["event_time"].max().timestamp() * 1000))
-        ready = done >= total and not sent
-        state.update((done, sent or ready))
+        changed = pd.concat(parts).groupby(level=0).agg({"new": "sum", "total": "first"})
+        jobs, counts, flags = state.get if state.exists else ([], [], [])
+        held = dict(zip(jobs, zip(counts, flags, strict=True), strict=True))
+        events = []
+        for job, new, total in zip(changed.index.tolist(), changed["new"].tolist(), changed["total"].tolist(), strict=True):
+            done, sent = held.get(job, (0, False))
+            done += new
+            ready = done >= total and not sent
+            held[job] = (done, sent or ready)
+            events.append((job, key[0], done, total, ready))
+        state.update((list(held), [done for done, _ in held.values()], [sent for _, sent in held.values()]))
         # two days after its last call, and in any case after the present watermark
         state.setTimeoutTimestamp(max(latest + 2 * 86_400_000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"budget_key": [key[0]], "day": [key[1]], "done": [done], "total": [total], "ready": [ready]})
+        yield pd.DataFrame(events, columns=["budget_key", "day", "done", "total", "ready"])
 
-    planned = finished_once(calls).join(totals, ["budget_key", "day"])
-    return planned.groupBy("budget_key", "day").applyInPandasWithState(
-        count, "budget_key bigint, day date, done bigint, total bigint, ready boolean", "done bigint, sent boolean", "append", GroupStateTimeout.EventTimeTimeout
+    planned = finished_once(calls).join(totals, ["budget_key", "day"]).drop("call_id")
+    planned = planned.withColumn("bucket", F.pmod(F.hash("budget_key"), F.lit(JOB_BUCKETS)))
+    return planned.groupBy("day", "bucket").applyInPandasWithState(
+        count, "budget_key bigint, day date, done bigint, total bigint, ready boolean", "jobs array<bigint>, done array<bigint>, sent array<boolean>", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 

@@ -143,6 +143,20 @@ def test_ready_is_sent_once_over_runs(spark, arriving, tmp_path):
     assert any(r.ready for r in events) and len(events) > len(want) / 2
 
 
+def test_states_of_jobs_grow_with_the_days(spark, tmp_path):
+    """2000 jobs of one day, every fifth with a call that is still to come."""
+    schema = "call_id bigint, event_time timestamp, day date, budget_key bigint, status string"
+    plan = "id call_id, timestamp'2024-01-10 10:00:00' event_time, date'2024-01-10' day, id % 2000 budget_key, 'ok' status"
+    spark.range(4000).selectExpr(*plan.split(", ")).write.parquet(str(tmp_path / "calls"))
+    totals = spark.range(2000).selectExpr("id budget_key", "date'2024-01-10' day", "if(id % 5 = 0, 3L, 2L) total")
+    events = J.job_events(spark.readStream.schema(schema).parquet(str(tmp_path / "calls")), totals)
+    progress = J.run(events.writeStream.format("parquet").option("path", str(tmp_path / "rows")), str(tmp_path / "home"), spark)
+    states = [s["numRowsTotal"] for p in progress for s in p["stateOperators"] if s["operatorName"] == "applyInPandasWithState"]
+    assert 0 < max(states) <= J.JOB_BUCKETS
+    got = {r.budget_key: (r.done, r.total, r.ready) for r in spark.read.parquet(str(tmp_path / "rows")).collect()}
+    assert got == {k: (2, 3, False) if k % 5 == 0 else (2, 2, True) for k in range(2000)}
+
+
 def test_late_rows_are_counted(spark, tmp_path):
     """A row five days behind the others, in a later file than they are."""
     calls_ = tmp_path / "calls"
