@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+from quire.functions.rounding import rounded
+
 # Dollars per million tokens, tokens per minute.
 PRICES = {"small": ("0.150", "0.600"), "large": ("2.50", "10.00")}
 TPM_LIMITS = {"small": 200000, "large": 30000}
@@ -67,4 +69,4 @@ def output_book(n: Column) -> Column:
 def percent(used: Column, limit: Column, digits: int) -> Column:
     """Share of a limit in percent, 0 when there is no limit."""
     d = F.when(limit > 0, used.cast("double") / limit.cast("double") * 100).otherwise(F.lit(0.0))
-    return F.round(d, digits)
+    return rounded(d, digits)

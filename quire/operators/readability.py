@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import readability as R
+from quire.functions.rounding import rounded
 from quire.functions.text import title_or_default
 from quire.operators.scale import with_totals, with_rank
 from quire.sources.views import main_chapters, number_chapters, with_flags
@@ -36,7 +37,7 @@ def book_averages(analysed: DataFrame) -> DataFrame:
 
     def weighted(score: str):
         total = F.sum(F.col(score).cast("decimal(10,1)") * F.col("words"))
-        return F.round(total.cast("double") / w.cast("double"), 1).alias(score)
+        return rounded(total.cast("double") / w.cast("double"), 1).alias(score)
 
     return analysed.groupBy("book_id").agg(
         w.alias("total_words"),
@@ -54,11 +55,11 @@ def book_times(averages: DataFrame) -> DataFrame:
     return (
         averages.withColumn("tier", R.tier(F.col("flesch_ease")))
         .withColumn("minutes", R.minutes(words, speed))
-        .withColumn("hours", F.round(F.col("minutes") / 60, 1))
+        .withColumn("hours", rounded(F.col("minutes") / 60, 1))
         .withColumn("skim_minutes", R.minutes(words, F.lit(R.SKIM_WPM)))
-        .withColumn("skim_hours", F.round(raw / R.SKIM_WPM / 60, 1))
+        .withColumn("skim_hours", rounded(raw / R.SKIM_WPM / 60, 1))
         .withColumn("study_minutes", R.minutes(words, F.lit(R.STUDY_WPM)))
-        .withColumn("study_hours", F.round(raw / R.STUDY_WPM / 60, 1))
+        .withColumn("study_hours", rounded(raw / R.STUDY_WPM / 60, 1))
     )
 
 
@@ -112,7 +113,7 @@ def difficulty_trend(analysed: DataFrame) -> DataFrame:
             F.col(f"{c}.fk_grade").cast("decimal(10,1)").cast("string"), F.lit(")"),
         )
 
-    spread = F.round(F.col("peak.fk_grade") - F.col("valley.fk_grade"), 1)
+    spread = rounded(F.col("peak.fk_grade") - F.col("valley.fk_grade"), 1)
     moving = F.concat_ws(
         ". ",
         F.when(diff > 2, "Gets progressively harder toward the end")
@@ -156,8 +157,8 @@ def curve_points(analysed: DataFrame) -> DataFrame:
             "chapter_number",
             "y_min",
             "y_max",
-            F.round(left + idx / (n - 1) * width, 4).alias("x"),
-            F.round(
+            rounded(left + idx / (n - 1) * width, 4).alias("x"),
+            rounded(
                 top + (1 - (F.col("fk_grade") - F.col("y_min")) / (F.col("y_max") - F.col("y_min"))) * height, 4
             ).alias("y"),
             ((idx % skip == 0) | (F.col("i") == n)).alias("labelled"),
@@ -184,7 +185,7 @@ def tier_bars(analysed: DataFrame) -> DataFrame:
         "position",
         "bar.tier",
         "bar.chapters",
-        F.round(F.col("bar.chapters") / F.greatest(F.col("largest"), F.lit(1)) * 260, 4).alias("width"),
+        rounded(F.col("bar.chapters") / F.greatest(F.col("largest"), F.lit(1)) * 260, 4).alias("width"),
         (10 + F.col("position") * 40).alias("y"),
     )
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.functions import money as M
+from quire.functions.rounding import rounded
 from quire.functions.text import title_or_default
 from quire.operators import cost as ops
 from quire.plans import sqlkit as S
@@ -274,7 +275,7 @@ def book_cost(spark, root):
         books.select("book_id", tokens.alias("input_tokens"))
         .withColumn("output_tokens", M.output_book(F.col("input_tokens")))
         .withColumn("cost", price)
-        .withColumn("per_prompt", F.round(F.col("cost").cast("double") / k, 9))
+        .withColumn("per_prompt", rounded(F.col("cost").cast("double") / k, 9))
     )
 
 

@@ -204,3 +204,11 @@ def test_batch_outcome(spark):
     df = spark.createDataFrame([(1, 1, d, "ok"), (2, 1, d, "failed")], "call_id bigint, budget_key bigint, day date, status string")
     r = A.job_lists(df).first()
     assert (r["calls"], r["succeeded"], r["failed"], r["succeeded_ids"], r["failed_ids"]) == (2, 1, 1, "1", "2")
+
+
+def test_scores_that_are_halves(spark):
+    """0.39 * 110 + 11.8 * 308 / 110 - 15.59 is 60.35, in doubles a last bit less."""
+    counts = [(110, 1, 308), (120, 1, 276), (250, 1, 700), (110, 1, 307)]
+    df = spark.createDataFrame([(*c, 0, 0) for c in counts], "words bigint, sentences bigint, syllables bigint, polysyllables bigint, letters bigint")
+    got = {(r.words, r.sentences, r.syllables): r.fk_grade for r in R.with_scores(df).collect()}
+    assert got == dict(zip(counts, [60.4, 58.4, 115.0, 60.2], strict=True))
