@@ -212,3 +212,32 @@ def test_scores_that_are_halves(spark):
     df = spark.createDataFrame([(*c, 0, 0) for c in counts], "words bigint, sentences bigint, syllables bigint, polysyllables bigint, letters bigint")
     got = {(r.words, r.sentences, r.syllables): r.fk_grade for r in R.with_scores(df).collect()}
     assert got == dict(zip(counts, [60.4, 58.4, 115.0, 60.2], strict=True))
+
+
+def test_one_section_alone(spark):
+    text = "## THE STORY\ns\n---\n## PEOPLE WORTH KNOWING\nAda\n\n## QUOTABLE\nq"
+    df = spark.createDataFrame([(1, text), (2, "## THE STORY\nt")], "chapter_id bigint, content string")
+    got = A.extract_sections(df, ["people"])
+    assert [(r.chapter_id, r.section_order, r.section, r.text) for r in got.collect()] == [(1, 2, "people", "Ada")]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "PEOPLE WORTH KNOWING" in plan and "QUOTABLE" not in plan
+
+
+def test_concat_record(spark):
+    """Books of one chapter, of two and without a name; the chapters left out count in numbers alone."""
+    rows = [("a", 1, "x"), ("a", 3, "z"), ("b", 4, "w"), (None, 5, "v")]
+    extracts = spark.createDataFrame(rows, "book_id string, chapter_id bigint, content string")
+    numbers = spark.createDataFrame([(1, 1, "T"), (2, 2, "U"), (3, 3, None), (4, 1, ""), (5, 1, "V")], "chapter_id bigint, chapter_number int, title string")
+    got = {r.book_id: (r.part, r.text, r.chapters_included) for r in A.concat_record(extracts, numbers).collect()}
+    assert got == {
+        "a": (0, "## Chapter 1: T\n\nx\n\n---\n\n## Chapter 3\n\nz", 2),
+        "b": (0, "## Chapter 1\n\nw", 1),
+        None: (0, "## Chapter 1: V\n\nv", 1),
+    }
+
+
+def test_extraction_concat_cuts_its_texts_once(spark):
+    from quire.plans import QUERIES
+
+    plan = QUERIES["extraction_concat"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "PEOPLE WORTH KNOWING" not in plan  # read back as written
